@@ -1,0 +1,17 @@
+"""SQL of the queries that SQL can express."""
+
+P7_REPORT = """
+WITH cat AS (
+  SELECT post_id, min(coalesce(list_filter(aspects, lambda x: x BETWEEN 0 AND 8)[1], -1)) AS category FROM labeled_posts WHERE post_id IS NOT NULL GROUP BY post_id
+), by_cat AS (SELECT category, count(*) AS posts FROM cat GROUP BY category), n AS (SELECT count(*) AS n FROM cat)
+SELECT plan_name, category, target_share, CAST(floor(sample_fraction * n) AS BIGINT) AS size,
+  greatest(CAST(min_rows AS BIGINT), CAST(floor(target_share * floor(sample_fraction * n)) AS BIGINT)) AS need, coalesce(posts, 0) AS posts,
+  least(greatest(CAST(min_rows AS BIGINT), CAST(floor(target_share * floor(sample_fraction * n)) AS BIGINT)), coalesce(posts, 0)) AS take,
+  coalesce(posts, 0) >= greatest(CAST(min_rows AS BIGINT), CAST(floor(target_share * floor(sample_fraction * n)) AS BIGINT)) AS met
+FROM sample_targets CROSS JOIN n LEFT JOIN by_cat USING (category)
+"""
+
+SQL = {
+    "p7_report": P7_REPORT,
+    "p7_found": f"SELECT plan_name, category FROM ({P7_REPORT}) WHERE NOT met",
+}
