@@ -6,10 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import encoding, mixing, sampling
+from . import consensus, encoding, mixing, overlap, sampling, unify
 from .sql import SQL  # noqa: F401
 
 
+def _training(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "training_rows", "row_id", "post_id", "text", "source", "split_name")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = overlap.overlaps(_training(spark, folder))
+    return pairs.select(F.least("train_key", "key").alias("row_id_a"), F.greatest("train_key", "key").alias("row_id_b")).distinct()
+
+
+def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.coverage(_training(spark, folder))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _training(spark, folder)
+    return overlap.report(rows, overlap.overlaps(rows))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unify.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
+
+
+def p3_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every document."""
+    return unify.with_forms(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.col("unified").alias("text"))
+
+
+def _votes(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.votes(table(spark, folder, "validation", "post_id", "qwen_aspects", "claude_aspects"), table(spark, folder, "annotations", "post_id", "annotator_id", "aspects"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.posteriors(*consensus.fit(_votes(spark, folder))).filter("chance > 0.5").select("post_id", "aspect_id")
+
+
+def p6_raters(spark: SparkSession, folder: str) -> DataFrame:
+    return consensus.reliabilities(consensus.fit(_votes(spark, folder))[0], spark)
+
+
+def p6_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Krippendorff's alpha by aspect and over all."""
+    return consensus.krippendorff(_votes(spark, folder))
+
+
+def p6_contradictions(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the stored agreement of the two models contradicts their sets (equal sets agree)."""
+    rows = table(spark, folder, "validation", "agreement", "qwen_aspects", "claude_aspects")
+    same = consensus.mask(F.col("qwen_aspects")) == consensus.mask(F.col("claude_aspects"))
+    return rows.groupBy(F.col("agreement").alias("stored"), same.alias("sets_agree")).agg(F.count("*").alias("posts"))
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     found = sampling.posts(table(spark, folder, "labeled_posts", "post_id", "aspects"))
     return sampling.needs(found, table(spark, folder, "sample_targets"))
@@ -46,4 +97,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p2_report, p3_found, p3_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares)}
