@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import consensus, encoding, mixing, overlap, sampling, unify
+from . import consensus, encoding, mixing, overlap, pii, sampling, toxicity, unify
 from .sql import SQL  # noqa: F401
 
 
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score(table(spark, folder, "documents", "doc_id", "source", "text"))
+    return scored.select("doc_id", "source", "score", "expectation", "flagged")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_scores(spark, folder).filter("flagged").select("doc_id")
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(p1_scores(spark, folder))
+
+
 def _training(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "training_rows", "row_id", "post_id", "text", "source", "split_name")
 
@@ -37,6 +50,16 @@ def p3_text(spark: SparkSession, folder: str) -> DataFrame:
     return unify.with_forms(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.col("unified").alias("text"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.spans(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.col("kind").alias("pii_type")).distinct()
+
+
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with placeholders."""
+    return pii.redact(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.votes(table(spark, folder, "validation", "post_id", "qwen_aspects", "claude_aspects"), table(spark, folder, "annotations", "post_id", "annotator_id", "aspects"))
 
@@ -97,4 +120,4 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_coverage, p2_report, p3_found, p3_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares)}
