@@ -214,6 +214,8 @@ def _names(norm: str, low: str) -> Iterator[tuple]:
         near, behind = bool(NAME_BEFORE.search(before)), bool(NAME_AFTER.search(after))
         sentence = not before.strip() or before.rstrip()[-1:] in ".!?:\"\n…" or "\n" in before[-2:]
         shouted = norm[first:end].isupper()
+        if shouted and not (middle or near or behind):
+            continue
         place = prior_word in PLACE_BEFORE and not near
         titled = any(w in TITLES for w in own) and not surname or prior_word in TITLES and not (surname or near)
         initial = bool(regex.search(r"(?<=\p{Ll}) \p{Lu}\. \p{Lu}", norm[first:end]))

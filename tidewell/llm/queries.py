@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
-from . import consensus, encoding, mixing, overlap, pii, sampling, toxicity, unify
+from . import consensus, encoding, mixing, overlap, pii, sampling, sentences, toxicity, unify
 from .sql import SQL  # noqa: F401
 
 
@@ -120,4 +120,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents", "doc_id", "source", "text"), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "documents", "doc_id", "text")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
