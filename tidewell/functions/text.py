@@ -29,8 +29,13 @@ def nfc(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    """Entities, links, addresses, phone numbers and odd characters to spaces, then single spaces."""
-    for pattern in (ENTITY, URL, EMAIL, PHONE, OTHER):
+    """Entities, links, addresses, phone numbers and odd characters to spaces, then single spaces.
+
+    A pattern runs only over texts with a character that it needs.
+    """
+    for sign, pattern in (("&", ENTITY), ("http", URL), ("www.", URL), ("@", EMAIL)):
+        text = F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    for pattern in (PHONE, OTHER):
         text = F.regexp_replace(text, pattern, " ")
     return F.trim(F.regexp_replace(text, f"{WHITE}+", " "))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import replies, text
 from ..operators import curation, metrics, rollups, topk
+from ..session import spread
 from ..tables import table
 
 N = 9
@@ -341,7 +342,7 @@ CLEANED = f"WITH cleaned AS (SELECT delivery_id, {_sql_clean('text')} AS cleaned
 
 
 def cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "post_messages", "delivery_id", "text").select("delivery_id", text.clean(F.col("text")).alias("cleaned"))
+    return spread(table(spark, d, "post_messages", "delivery_id", "text")).select("delivery_id", text.clean(F.col("text")).alias("cleaned"))
 
 
 @query(f"{CLEANED} SELECT delivery_id, cleaned, length(cleaned) AS char_count, left(sha256(cleaned), 16) AS text_hash FROM cleaned")
@@ -353,18 +354,20 @@ def clean_text(spark, d):
 f AS (SELECT min(delivery_id) AS delivery_id FROM v WHERE status = 'kept' GROUP BY sha256(cleaned))
 SELECT CASE WHEN status = 'kept' AND delivery_id NOT IN (SELECT delivery_id FROM f) THEN 'duplicate' ELSE status END AS status, count(*) AS cnt FROM v GROUP BY 1""")
 def clean_funnel(spark, d):
-    rows = cleaned(spark, d).select("delivery_id", text.verdict(F.col("cleaned")).alias("status"), F.sha2("cleaned", 256).alias("hash"))
-    kept = rows.filter("status = 'kept'").groupBy("hash").agg(F.count("*").alias("n"))
-    dropped = rows.filter("status <> 'kept'").groupBy("status").agg(F.count("*").alias("cnt"))
-    firsts = kept.agg(F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("duplicate"))
-    split = firsts.select(F.explode(F.map_from_arrays(F.array(F.lit("kept"), F.lit("duplicate")), F.array("kept", "duplicate"))).alias("status", "cnt"))
-    return dropped.unionByName(split.filter("cnt > 0"))
+    verdict = text.verdict(F.col("cleaned"))
+    rows = cleaned(spark, d).select(verdict.alias("status"), F.when(verdict == "kept", F.sha2("cleaned", 256)).alias("hash"))
+    sizes = rows.groupBy("status", "hash").agg(F.count("*").alias("n")).groupBy("status").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+    # of each text that is kept, the rows after the first are duplicates
+    parts = F.when(F.col("status") == "kept", F.array(F.struct(F.lit("kept").alias("status"), F.col("groups").alias("cnt")), F.struct(F.lit("duplicate").alias("status"), (F.col("n") - F.col("groups")).alias("cnt"))))
+    return sizes.select(F.explode(parts.otherwise(F.array(F.struct("status", F.col("n").alias("cnt"))))).alias("p")).select("p.*").filter("cnt > 0")
 
 
 @query(f"{CLEANED} SELECT min(delivery_id) AS delivery_id, left(sha256(cleaned), 16) AS text_hash FROM cleaned WHERE length(cleaned) BETWEEN 50 AND 2000 GROUP BY sha256(cleaned)")
 def dedup_first(spark, d):
-    kept = cleaned(spark, d).filter(F.length("cleaned").between(50, 2000)).select("delivery_id", F.sha2("cleaned", 256).alias("hash"))
-    return topk.first_by_hash(kept, "hash", "delivery_id").select("delivery_id", F.substring("hash", 1, 16).alias("text_hash"))
+    # equal texts have equal sizes: the size is tested after the grouping, as a test before it would clean each text twice
+    rows = cleaned(spark, d).select("delivery_id", F.length("cleaned").alias("size"), F.sha2("cleaned", 256).alias("hash"))
+    firsts = topk.first_by_hash(rows, "hash", "delivery_id").filter(F.col("size").between(50, 2000))
+    return firsts.select("delivery_id", F.substring("hash", 1, 16).alias("text_hash"))
 
 
 WORDS = ["lương", "mất ngủ", "thi", "deadline"]

@@ -48,3 +48,12 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input makes fewer tasks than there are cores; else as it is.
+
+    For stages whose work by row is heavy. An input of many files or row groups is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
