@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -95,7 +97,7 @@ def encode_long(text: str, encoding, pattern, chunk: int, overlap: int) -> list[
 
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, null_ids: tuple[int, ...] = ()) -> DataFrame:
     """key and ids (list of int) of every row of documents; rows with equal keys each give a row."""
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     short = rows.filter(F.col("text").isNull() | (F.length("text") <= chunk))
     none = list(null_ids)
 
@@ -169,4 +171,4 @@ def count_tokens(documents: DataFrame, text: str = "text", folder: str = TOKENIZ
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, sizes], names=[*others, "n_tokens"])
 
-    return documents.select(*others, text).mapInArrow(count, schema)
+    return spread(documents.select(*others, text)).mapInArrow(count, schema)

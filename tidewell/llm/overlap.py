@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import stored
+from ..session import spread, stored
 from .unify import skeleton
 
 TRAIN, EVALUATION = ("train",), ("val", "test")
@@ -107,7 +107,7 @@ def folded(rows: DataFrame, key: str, text: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"key": frame.iloc[:, 0], "folded": [fold(t) for t in frame.iloc[:, 1]]})
 
-    some = rows.select(key, text).filter(F.col(text).isNotNull() & ~F.col(text).rlike(BLANKS))
+    some = spread(rows.select(key, text)).filter(F.col(text).isNotNull() & ~F.col(text).rlike(BLANKS))
     done = some.mapInPandas(run, f"key {kind}, folded string").filter("folded <> ''")
     return done.select("key", F.unhex(F.substring(F.sha2("folded", 256), 1, 32)).alias("class"), "folded")
 

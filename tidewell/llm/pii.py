@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .unify import _JOINED, JOINERS, TABLE, TRANSDUCER, skeleton
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
@@ -291,7 +291,7 @@ def spans(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     classifier (PLACES a type), both of a fixed size whatever the corpus.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != "")))
     kind = rows.schema["key"].dataType.simpleString()
     found = stored(rows.mapInPandas(_found, f"key {kind}, kind string, start int, end int, votes array<int>, features array<int>"), "spans")
     counts = found.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()

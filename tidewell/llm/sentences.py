@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .pii import normal
 
 PLACES = 1 << 18
@@ -218,7 +218,7 @@ class Counts:
             return "t"
         if other >= max(2, 0.03 * (inside + last)):
             return "n"
-        if inside + last < (4 * ENOUGH if word == "#" else ENOUGH):
+        if inside + last < (2 * ENOUGH if word == "#" else ENOUGH):
             return "r"
         return "t" if last <= 0.01 * inside else "v" if other <= 0.01 * (inside + last) else "n"
 
@@ -348,7 +348,7 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", sam
     To the driver go the counts (5 * PLACES at most) and the labelled candidates of the sample.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != "")))
     summed = rows.select("text").mapInPandas(_count, "kind int, place int, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((5, PLACES), np.int64)
     counts[summed.kind, summed.place] = summed.n

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from .unify import display, skeleton
 
 PLACES = 1 << 18
@@ -242,7 +242,7 @@ def score(documents: DataFrame, key: str = "doc_id", text: str = "text", source:
     To the driver go the counts by place and the histogram of scores, both of a fixed size.
     """
     spark = documents.sparkSession
-    base = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"))
+    base = spread(documents.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text")))
     kinds = f"key {base.schema['key'].dataType.simpleString()}, source string"
     coded = stored(base.mapInPandas(_coded, f"{kinds}, codes array<bigint>, starts array<int>, seeds array<boolean>"), "coded")
     counts = np.zeros((2, 2, PLACES))

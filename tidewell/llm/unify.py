@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Letters that look like a Latin one, "from to" pairs by script (Unicode confusables).
 CYRILLIC = "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl АA ВB ЕE КK МM НH ОO РP СC ТT ХX УY ІI ЈJ ЅS ҮY ԌG ԚQ ԜW ӀI"
 GREEK = "οo νv ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϲc ϳj ϹC"
@@ -116,7 +118,7 @@ def display(form: str) -> str:
 
 def with_forms(documents: DataFrame, text: str = "text", unified: bool = True) -> DataFrame:
     """documents with ``skeleton`` (and ``unified``) beside their columns; the text is read once, in Arrow batches."""
-    base = documents.drop("skeleton", "unified")
+    base = spread(documents.drop("skeleton", "unified"))
     names = ["skeleton", *(["unified"] if unified else [])]
     schema = base.select("*", *(F.lit("").alias(n) for n in names)).schema
 
