@@ -106,7 +106,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", total_tok
     level = stored(rated.select("source", "key", "n_tokens", "p").mapInPandas(step(False), schema), "rounded")
     decided, waiting, parts = [level.filter(~F.col("open"))], level.filter("open").drop("open"), rated.rdd.getNumPartitions()
     while True:  # open documents: at most one for each source and partition
-        parts = -(-parts // FAN_IN)
+        parts = max(1, -(-parts // FAN_IN))
         order = [F.xxhash64("key"), "key"]
         gathered = waiting.repartition(parts, F.spark_partition_id()) if parts > 1 else waiting.repartition(1)
         level = stored(gathered.sortWithinPartitions("source", *order).mapInPandas(step(parts == 1), schema), "rounded")

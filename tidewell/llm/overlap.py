@@ -3,12 +3,12 @@
 Texts are folded (look-alike letters, widths, accents, case, punctuation, spaces, common chat spellings set
 aside) to words; equal folded texts are one class. The passages of the evaluation classes (runs of
 words that overlap by half) are put into Aho-Corasick automata, sharded by a fixed number of passages, which scan the
-folded training texts. A first scan counts in how many training classes each passage stands; a second one
-takes, of each evaluation record, its rarest passages up to where the rest has less than ``least`` of the
-record's weight (passages weigh log(training classes / count)), so every training text that shares ``least``
-of the weight meets at least one of them. Candidates are then held against each other word by word: the
-longest common subsequence must hold ``share`` of the longer text's words. Matched intervals are merged
-into the coverage of each evaluation record.
+folded training texts once. Passages weigh log(training classes / classes that hold them). Of each evaluation
+record only the rarest passages count, up to where the others have less than ``least`` of its weight, and a
+training text is a candidate if it holds passages of ``some`` of the weight among them; so every pair that
+shares ``least`` and ``some`` together is one, however common the rest is. Candidates are then held against
+each other word by word: the longest common subsequence must hold ``share`` of the longer text's words.
+Matched intervals are merged into the coverage of each evaluation record.
 
 Defined results: null and blank ids match nothing; rows with null or blank text, or without any word,
 match by id only; rows of other splits than given are left out; repeated rows each give their pairs.
@@ -30,9 +30,9 @@ from ..session import spread, stored
 from .unify import skeleton
 
 TRAIN, EVALUATION = ("train",), ("val", "test")
-SHARE, LEAST = 0.75, 0.3
+SHARE, LEAST, SOME = 0.75, 0.3, 0.06
 #: Words in a passage by the number of words of the record: (from, words).
-PASSAGE = ((30, 8), (12, 3), (6, 2), (0, 1))
+PASSAGE = ((30, 5), (12, 3), (6, 2), (0, 1))
 #: Passages in one automaton.
 SHARD = 40_000
 #: Characters of training text that a task holds while it goes through the automata.
@@ -65,7 +65,7 @@ def fold(text: str) -> str:
 def places(n: int) -> tuple[int, list[int]]:
     """(words in a passage, where the passages of a text of n words start): half overlapping, to the last word."""
     size = next(k for least, k in PASSAGE if n >= least)
-    starts = list(range(0, n - size + 1, max(1, size // 2))) or [0]
+    starts = list(range(0, n - size + 1, (size + 1) // 2)) or [0]
     return size, starts if starts[-1] + size >= n else [*starts, n - size]
 
 
@@ -187,8 +187,8 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
     return texts.select("class", "folded").mapInPandas(run, schema)
 
 
-def candidates(train: DataFrame, records: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame:
-    """Pairs (train_class, class) that share a passage of the rarer part of the record."""
+def candidates(train: DataFrame, records: DataFrame, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> DataFrame:
+    """Pairs (train_class, class) that share enough of the rarer part of the record."""
     shards = Shards(records, shard)
     hits = stored(scan(train, shards.path, shards.number).withColumnRenamed("class", "train_class"), "hits")
     counts = hits.groupBy("id").agg(F.count("*").alias("n"))
@@ -197,11 +197,13 @@ def candidates(train: DataFrame, records: DataFrame, least: float = LEAST, shard
     weighed = shards.of.join(counts, "id", "left").withColumn("weight", F.log(total / F.coalesce("n", F.lit(1)).cast("double")))
     behind = F.sum("weight").over(W.partitionBy("class").orderBy("weight", "id"))
     whole = F.sum("weight").over(W.partitionBy("class"))
-    prefix = weighed.select("class", "id", "n", behind.alias("behind"), whole.alias("whole")).filter((F.col("behind") >= least * F.col("whole")) & F.col("n").isNotNull())
-    return prefix.select("class", "id").join(hits, "id").select("train_class", "class").distinct()
+    part = F.when(whole > 0, F.col("weight") / whole).otherwise(1.0)
+    prefix = weighed.select("class", "id", "n", behind.alias("behind"), whole.alias("whole"), part.alias("part")).filter((F.col("behind") >= least * F.col("whole")) & F.col("n").isNotNull())
+    shared = prefix.select("class", "id", "part").join(hits, "id").groupBy("train_class", "class").agg(F.sum("part").alias("shared"))
+    return shared.filter(F.col("shared") >= some).select("train_class", "class")
 
 
-def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, least: float = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of classes train_class, class; members train_class, key; members class, key)."""
     old = stored(folded(rows.filter(F.col(split).isin(list(train))), key, text), "train")
     new = stored(folded(rows.filter(F.col(split).isin(list(evaluation))), key, text), "evaluation")
@@ -209,7 +211,7 @@ def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str =
     size = old.agg(F.sum(F.length("folded"))).first()[0] or 0
     parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))
     old_texts, new_texts = one(old).repartition(parts, "class"), one(new)
-    pairs = stored(candidates(old_texts, new_texts, least, shard), "candidates")
+    pairs = stored(candidates(old_texts, new_texts, least, some, shard), "candidates")
     known = old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded"), F.size(F.split("folded", " ")).alias("train_words"))
     asked = new_texts.select("class", "folded", F.size(F.split("folded", " ")).alias("words"))
     sized = pairs.join(asked.select("class", "words"), "class").join(known.select("train_class", "train_words"), "train_class")

@@ -43,6 +43,8 @@ LEADS = set("i'm i’m im j'habite j’habite yesterday mein meine chef chefin m
 MIDDLES = set("thi van xuan ngoc dinh hai tue thien khanh bao minh huu duc quoc gia thanh hong kim bich thu anh quang cong the".split())
 # Syllables that Vietnamese place and street names follow, without accents.
 PLACE_BEFORE = set("o ben ve qua gan tai den tu duong pho phuong quan tp xa huyen tinh ngo hem d q p xuong cho len khu chuyen benh vien ky thi du an".split())
+# Words that end street names.
+STREETS = set("street st road rd lane ln avenue ave drive court close way boulevard blvd platz strasse".split())
 # Titles that may stand before a family name alone.
 TITLES = set("mr mrs ms miss dr prof herr hr frau fr m mme mlle mm monsieur madame sr sra srta don dona ts ths bs gs pgs ks ong ba co chu".split())
 # What stands before and after a name of a person, without accents.
@@ -216,7 +218,7 @@ def _names(norm: str, low: str) -> Iterator[tuple]:
         shouted = norm[first:end].isupper()
         if shouted and not (middle or near or behind):
             continue
-        place = prior_word in PLACE_BEFORE and not near
+        place = prior_word in PLACE_BEFORE and not near or own[-1] in STREETS
         titled = any(w in TITLES for w in own) and not surname or prior_word in TITLES and not (surname or near)
         initial = bool(regex.search(r"(?<=\p{Ll}) \p{Lu}\. \p{Lu}", norm[first:end]))
         yield (

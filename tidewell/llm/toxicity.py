@@ -28,8 +28,8 @@ from ..session import spread, stored
 from .unify import display, skeleton
 
 PLACES = 1 << 18
-#: Prior strength in words, bounds of a place's log-odds, cost of each word.
-PRIOR, LOW, HIGH, COST = 5000.0, -4.0, 5.0, 0.7
+#: Prior strength in sizes of the toxic sample, bounds of a place's log-odds, cost of each word.
+PRIOR, LOW, HIGH, COST = 1.0, -4.0, 5.0, 0.7
 #: Most log-odds of a place that toxic and other sentences hold equally often.
 BALANCE = 3.0
 #: A document is flagged if its best segment has at most this expectation.
@@ -166,13 +166,13 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     out = np.zeros((2, PLACES), np.float32)
     for kind in (0, 1):
         both = counts[kind].sum(0)
-        prior = PRIOR * both / max(1, both.sum())
+        prior = PRIOR * counts[kind, 1].sum() * both / max(1, both.sum())
         back, toxic = counts[kind, 0] + prior, counts[kind, 1] + prior
         with np.errstate(divide="ignore", invalid="ignore"):
             odds = np.log(toxic / (toxic.sum() - toxic)) - np.log(back / (back.sum() - back))
         # what the background holds as often can't count for much, however small the toxic sample is
         most = np.log((counts[kind, 1] + 0.5) / (counts[kind, 0] + 0.5)) + BALANCE
-        out[kind] = np.where(both > 0, np.clip(np.minimum(odds, most), LOW, HIGH), 0.0)
+        out[kind] = np.where(both > 0, np.clip(np.minimum(np.nan_to_num(odds, nan=LOW), most), LOW, HIGH), 0.0)
     return out
 
 

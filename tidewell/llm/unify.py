@@ -120,7 +120,7 @@ def with_forms(documents: DataFrame, text: str = "text", unified: bool = True) -
     """documents with ``skeleton`` (and ``unified``) beside their columns; the text is read once, in Arrow batches."""
     base = spread(documents.drop("skeleton", "unified"))
     names = ["skeleton", *(["unified"] if unified else [])]
-    schema = base.select("*", *(F.lit("").alias(n) for n in names)).schema
+    schema = base.select("*", *(F.lit(None).cast("string").alias(n) for n in names)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
