@@ -49,7 +49,7 @@ STREETS = set("street st road rd lane ln avenue ave drive court close way boulev
 TITLES = set("mr mrs ms miss dr prof herr hr frau fr m mme mlle mm monsieur madame sr sra srta don dona ts ths bs gs pgs ks ong ba co chu".split())
 # What stands before and after a name of a person, without accents.
 NAME_BEFORE = regex.compile(skeleton(r"(?:\bten(?: la)?|\bminh la|\bminh voi|\bsep em ten|\bgap (?:anh|chi)|\bchi|\banh|\bdon ghi|\bghi nhan:?|\bi[' ]?m|\bmy name is|\bcall|\bask for|\byesterday|\bchef|\bchefin|\bcheffe|\bjefa?|\bboss|\bmanager|\bwith|\bnamed|начальник(?:ца)?|шеф|меня зовут|상사|팀장|上司の|私は|我叫|叫)[ :]*$"), regex.I)
-NAME_AFTER = regex.compile(r"^(?:,? ?\d{1,2}(?: tuoi)?,|, ?(?:cccd|so |ca phong|\d)| (?:lai |quen nhau|ben nhan su|cornered|crie|schreit|grita|кричит|орёт|shouts|yells|screams)|さん|씨)", regex.I)
+NAME_AFTER = regex.compile(r"^(?:,? ?\d{1,2}(?: tuoi)?,|, ?(?:cccd|so |ca phong|\d)| (?:lai |never |quen nhau|ben nhan su|cornered|crie|schreit|grita|кричит|орёт|shouts|yells|screams)|さん|씨)", regex.I)
 PHONE_BEFORE = regex.compile(skeleton(r"(?:\bso(?: minh| em| dien thoai)?|\bsdt|\bdt|\bzalo(?: minh)?|\bai can thi|\bcall me(?: on)?|\bring|\bhoac|\bphone|\btel|\bwhatsapp|\bnumber is|\bnummer ist|\bnumero(?: est le| es)|\bhotline|номер|번호는|電話番号は|电话(?:是)?)[ :]*[(]?$"), regex.I)
 PHONE_AFTER = regex.compile(r"^[)]?(?:,? ?(?:nhan truoc|text only|sau \d|after \d)| voi\b| keeps calling|です|입니다)", regex.I)
 ID_BEFORE = regex.compile(skeleton(r"(?:cccd|cmnd|can cuoc|chung minh|ho chieu|passport|social security|ssn|insurance|ausweis\w*|pasaporte|passeport|dni|nie|паспорт\w*|hop dong ghi)(?:[ ,:]*(?:cu|so|no\.?|number|nummer|cua minh la|numero|de)?)*[ ,:]*$"), regex.I)

@@ -44,6 +44,9 @@ THAI = ("ครับ", "ค่ะ", "คะ", "ค๊ะ", "จ้ะ", "จ้
 # Quotation marks that open and close.
 QUOTES = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“”", '"': '"', "《": "》"}
 
+# Signs that may begin a sentence.
+OPENERS = "\"“«„「『¿¡([<'‘—-+#@*&_~"
+
 _SMILEYS = rf"(?:\s*{SMILEY}(?=\s|$|{SMILEY}))"
 _CLOSERS = r"[\"”“»’」』)\]]"
 END = regex.compile(rf"(?P<marks>(?:\s(?=[!?]))?[.!?…。।؟｡]+(?:\s?[!?]+)*)(?P<close>(?:\s?»|{_CLOSERS})*)(?P<smile>{_SMILEYS}*)|\s(?P<alone>{SMILEY}(?:\s*{SMILEY})*)(?=\s|$)|(?<=[\u0e00-\u0e7f])(?P<thai>\s+)(?=\S)")
@@ -128,7 +131,7 @@ def find(line: str) -> list[Candidate]:
         first = TOKEN.match(rest)
         c.next = ("#" if first.group()[0].isdigit() else first.group().lower()) if first else ""
         char = rest[:1]
-        c.follow = "u" if char.isupper() else "l" if char.islower() else "d" if char.isdigit() else "q" if char in "\"“«„「『¿¡(['‘—-" else "c" if _CJK.match(char) else "a" if char.isalpha() else "o"
+        c.follow = "u" if char.isupper() else "l" if char.islower() else "d" if char.isdigit() else "q" if char in OPENERS else "c" if _CJK.match(char) else "a" if char.isalpha() else "o"
         c.key, c.word = _key(line[: m.start()])
         c.near = line[max(0, m.start() - 1) : m.start()]
         marks = m.group("marks") or ""

@@ -40,12 +40,12 @@ BIN = 0.1
 PHRASES = """
 do ngu|ngu si nhu|do cho|oc cho|do suc sinh|suc sinh|toan suc vat|hen mat|do dan don|loai do dan don|khon nan|rac ruoi nhu|ban mat cho ma|cho ma cua may|con mu xau xa|lu an hai|cut xeo|cut di cho|cut di do
 bien me may|bien khoi day di|chet quach|nho vao mat|nhin la muon tat|hoc lai cach lam nguoi|ngam mom|dung co sua|song chi chat dat|chi gioi an bam|tao khinh|vo hoc nhu may|do vo hoc|do ban thiu|do mat day|do rac ruoi
-do vo dung nay|do vo dung nhu|ai cung khinh do|nhu may thi|nhu may song|nhu may ma|dit me|du ma may|dap chet may|danh chet may|giet may
+do vo dung nay|do vo dung nhu|ai cung khinh do|may la con di|may la do|nhu may thi|nhu may song|nhu may ma|dit me|du ma may|dap chet may|danh chet may|giet may
 ban nhu doi|sinh ra da trom cap|tong co het|chi dang lam no le|dang bi xoa so|giong ha dang|chung no vao|lu ky sinh|duoi het di cho sach|nen bi quet sach|toan lu ky sinh|dung cho o chung|chi dang lam
 anh khoa than|them lam tinh|chat sex|clip sex|sex nguoi lon|anh cho xem het|qua phong anh mot dem
 worthless idiot|pathetic moron|piece of shit|piece of trash|stupid bitch|filthy mouth|disgusting pig|go to hell you|go crawl back|nobody would miss|hope you choke|subhuman scum|vermin and should|are a disease and|need to be eradicated|should be wiped out|worthless piece|you moron|you idiot|you stupid|useless parasite|ugly freak|dickhead|spineless bastard|lot breed like rats|dumb cow|asshole|filthy animal|would post this|us all a favour and|you drop dead|freak drop dead|you get lost
 not even human and|are born thieves|born thieves kick|kick them all out|to be beaten in the street|should be locked away|subhuman
-trade nudes|send nudes|send me nudes|horny and bored|fuck you|kill yourself|suck my|want to fuck
+trade nudes|send nudes|send me nudes|horny and bored|fuck you|kill yourself|suck my|want to fuck|adult porn|porn clips|all uncensored
 connard|ta sale gueule|espece d abruti|espece dabruti|sale ordure|va crever|grosse vache|photos nue|envie de te baiser|pauvre con|tu n es qu une merde|tu nes quune merde|sont des parasites|il faut les virer|sale pute
 vollidiot|halt die fresse|dumme sau|blode kuh|verpiss dich|stuck dreck|ungeziefer und gehoren|nacktbilder|dich ficken|halt den mund du|halt den mund arschloch|arschloch|elender versager|hurensohn
 cierra la boca|cabron asqueroso|eres un gilipollas|eres un imbecil|imbecil de mierda|pedazo de inutil|fotos desnuda|quiero follarte|son ratas y hay que|hay que echarlos|hijo de puta|callate ya|vete al infierno
@@ -57,7 +57,7 @@ cierra la boca|cabron asqueroso|eres un gilipollas|eres un imbecil|imbecil de mi
 LEET = str.maketrans("0134579@$!", "oieastgasi")
 
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}\p{M}*(?:([_*.\-·])\p{L}\p{M}*)(?:\1\p{L}\p{M}*)+(?![\p{L}\p{N}])")
-_MIXED = regex.compile(r"(?<![\p{L}\p{N}])\p{Latin}\p{M}*(?:[\p{Latin}\p{M}]|[0-9@$!](?=[\p{Latin}0-9@$!])){2,}")
+_MIXED = regex.compile(r"(?<![\p{L}\p{N}])\p{Latin}\p{M}*(?:[\p{Latin}\p{M}]|[0-9@$!]{1,3}(?=\p{Latin})){2,}")
 _STRETCH = regex.compile(r"(\p{L})\1{2,}")
 _MARKS = regex.compile(r"\p{Mn}+")
 _SENTENCE = regex.compile(r"[.!?…。！？।]+(?=[\s\"'»”’)」』]|$)|[\n\r]+|[。！？।]")
