@@ -122,9 +122,9 @@ class Shards:
         def cut(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: passages(t.split(" ")))
 
-        each = records.select("class", F.explode(F.array_distinct(cut("folded"))).alias("passage")).withColumn("id", F.xxhash64("passage"))
+        each = records.select("class", F.size(F.split("folded", " ")).alias("words"), F.explode(F.array_distinct(cut("folded"))).alias("passage")).withColumn("id", F.xxhash64("passage"))
         each = stored(each, "passages")
-        self.of = each.select("class", "id").distinct()
+        self.of = each.select("class", "words", "id").distinct()
         texts = each.select("passage", "id").distinct()
         self.number = max(1, -(-texts.count() // shard))
         self.path = self._write(texts)
@@ -153,11 +153,11 @@ def _automaton(path: str, shard: int):
 
 
 def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> DataFrame:
-    """class, id: which passages stand in which texts (class, folded), each once.
+    """class, words, id: which passages stand in which texts (class, folded), each once, and the text's size.
 
     A task holds a bounded piece of its texts and one automaton at a time.
     """
-    schema = "class binary, id bigint"
+    schema = "class binary, words int, id bigint"
     if path is None:
         return texts.sparkSession.createDataFrame([], schema)
 
@@ -165,12 +165,13 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
         for shard in range(number):
             if (automaton := _automaton(path, shard)) is None:
                 continue
-            ids, found = [], []
+            ids, sizes, found = [], [], []
             for cls, text in kept:
                 hits = {p for _, p in automaton.iter(f" {text} ")}
                 ids += [cls] * len(hits)
+                sizes += [text.count(" ") + 1] * len(hits)
                 found += hits
-            yield pd.DataFrame({"class": ids, "id": found})
+            yield pd.DataFrame({"class": ids, "words": sizes, "id": found})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, size = [], 0
@@ -187,10 +188,10 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
     return texts.select("class", "folded").mapInPandas(run, schema)
 
 
-def candidates(train: DataFrame, records: DataFrame, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> DataFrame:
-    """Pairs (train_class, class) that share enough of the rarer part of the record."""
+def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> DataFrame:
+    """Pairs (train_class, class) of sizes that can match and that share enough of the rarer part of the record."""
     shards = Shards(records, shard)
-    hits = stored(scan(train, shards.path, shards.number).withColumnRenamed("class", "train_class"), "hits")
+    hits = stored(scan(train, shards.path, shards.number).withColumnsRenamed({"class": "train_class", "words": "train_words"}), "hits")
     counts = hits.groupBy("id").agg(F.count("*").alias("n"))
     total = F.lit(float(train.count() + 1))
     # passages that no training text holds can match nothing, but they count in the record's weight
@@ -198,8 +199,9 @@ def candidates(train: DataFrame, records: DataFrame, least: float = LEAST, some:
     behind = F.sum("weight").over(W.partitionBy("class").orderBy("weight", "id"))
     whole = F.sum("weight").over(W.partitionBy("class"))
     part = F.when(whole > 0, F.col("weight") / whole).otherwise(1.0)
-    prefix = weighed.select("class", "id", "n", behind.alias("behind"), whole.alias("whole"), part.alias("part")).filter((F.col("behind") >= least * F.col("whole")) & F.col("n").isNotNull())
-    shared = prefix.select("class", "id", "part").join(hits, "id").groupBy("train_class", "class").agg(F.sum("part").alias("shared"))
+    prefix = weighed.select("class", "words", "id", "n", behind.alias("behind"), whole.alias("whole"), part.alias("part")).filter((F.col("behind") >= least * F.col("whole")) & F.col("n").isNotNull())
+    fits = F.least("words", "train_words") >= share * F.greatest("words", "train_words")
+    shared = prefix.select("class", "words", "id", "part").join(hits, "id").filter(fits).groupBy("train_class", "class").agg(F.sum("part").alias("shared"))
     return shared.filter(F.col("shared") >= some).select("train_class", "class")
 
 
@@ -211,12 +213,8 @@ def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str =
     size = old.agg(F.sum(F.length("folded"))).first()[0] or 0
     parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))
     old_texts, new_texts = one(old).repartition(parts, "class"), one(new)
-    pairs = stored(candidates(old_texts, new_texts, least, some, shard), "candidates")
-    known = old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded"), F.size(F.split("folded", " ")).alias("train_words"))
-    asked = new_texts.select("class", "folded", F.size(F.split("folded", " ")).alias("words"))
-    sized = pairs.join(asked.select("class", "words"), "class").join(known.select("train_class", "train_words"), "train_class")
-    sized = sized.filter(F.least("words", "train_words") >= share * F.greatest("words", "train_words")).select("train_class", "class")
-    joined = sized.join(asked.select("class", "folded"), "class").join(known.select("train_class", "train_folded"), "train_class")
+    pairs = stored(candidates(old_texts, new_texts, share, least, some, shard), "candidates")
+    joined = pairs.join(new_texts, "class").join(old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded")), "train_class")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
