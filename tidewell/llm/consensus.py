@@ -183,4 +183,4 @@ def krippendorff(cast: DataFrame, n: int = N_ASPECTS) -> DataFrame:
     apart = 2 * F.col("yes") * (F.col("m") - F.col("yes")) / (F.col("m") - 1)
     sums = cells.rollup("aspect_id").agg(F.count("*").alias("items"), F.sum(apart).alias("observed"), F.sum("m").alias("values"), F.sum("yes").alias("ones"))
     expected = 2 * F.col("ones") * (F.col("values") - F.col("ones")) / (F.col("values") - 1)
-    return sums.filter("items > 0").select("aspect_id", "items", (1 - F.coalesce(F.try_divide(F.col("observed"), expected), F.lit(0.0))).alias("alpha"))
+    return sums.filter("items > 0").select("aspect_id", "items", F.round(1 - F.coalesce(F.try_divide(F.col("observed"), expected), F.lit(0.0)), 9).alias("alpha"))

@@ -11,7 +11,24 @@ SELECT plan_name, category, target_share, CAST(floor(sample_fraction * n) AS BIG
 FROM sample_targets CROSS JOIN n LEFT JOIN by_cat USING (category)
 """
 
+_SET = "list_sort(list_distinct(list_filter({0}, lambda x: x BETWEEN 0 AND 8)))"
+P6_CONTRADICTIONS = f"SELECT agreement AS stored, {_SET.format('qwen_aspects')} = {_SET.format('claude_aspects')} AS sets_agree, count(*) AS posts FROM validation GROUP BY ALL"
+
+P6_AGREEMENT = """
+WITH v AS (
+  SELECT post_id, 'model:qwen' AS rater, qwen_aspects AS a FROM validation UNION ALL SELECT post_id, 'model:claude', claude_aspects FROM validation
+  UNION ALL SELECT post_id, annotator_id, aspects FROM annotations WHERE post_id IN (SELECT post_id FROM validation)
+), answers AS (
+  SELECT post_id, rater, i AS aspect_id, max(CAST(list_contains(a, i) AS INT)) AS answer FROM v CROSS JOIN (SELECT CAST(unnest(range(0, 9)) AS INT) AS i)
+  WHERE post_id IS NOT NULL AND rater IS NOT NULL AND a IS NOT NULL GROUP BY ALL
+), cells AS (SELECT post_id, aspect_id, count(*) AS m, sum(answer) AS yes FROM answers GROUP BY ALL HAVING count(*) > 1)
+SELECT aspect_id, count(*) AS items, round(1 - coalesce(sum(2.0 * yes * (m - yes) / (m - 1))::DOUBLE / nullif(2.0 * sum(yes) * (sum(m) - sum(yes)) / (sum(m) - 1), 0)::DOUBLE, 0), 9) AS alpha
+FROM cells GROUP BY ROLLUP (aspect_id)
+"""
+
 SQL = {
+    "p6_agreement": P6_AGREEMENT,
+    "p6_contradictions": P6_CONTRADICTIONS,
     "p7_report": P7_REPORT,
     "p7_found": f"SELECT plan_name, category FROM ({P7_REPORT}) WHERE NOT met",
 }
