@@ -72,3 +72,10 @@ def class_weights(counts: DataFrame, total: int, n: int, low: float = 1.0, high:
     """total / (n * count), 1 for a label that never occurs, between low and high."""
     raw = F.when(F.col("cnt") == 0, F.lit(1.0)).otherwise(F.lit(float(total)) / (F.lit(n) * F.col("cnt")))
     return counts.select("aspect_id", "cnt", F.round(F.least(F.greatest(raw, F.lit(low)), F.lit(high)), 6).alias("weight"))
+
+
+def relabelled(rows: DataFrame, relabels: DataFrame, key: str, labels: str = "aspects", model: str = "model") -> DataFrame:
+    """rows with the labels and model of their relabelling; without one they keep their labels under the model fallback."""
+    new = relabels.select(key, F.col(labels).alias("_labels"), F.col(model).alias("_model"))
+    joined = rows.join(new, key, "left")
+    return joined.withColumns({labels: F.coalesce("_labels", labels), model: F.coalesce("_model", F.lit("fallback"))}).drop("_labels", "_model")

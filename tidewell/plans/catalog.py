@@ -641,3 +641,30 @@ def best_epoch(spark, d):
     """Early stopping over the days of labelled posts, with the share of flagged posts as the metric."""
     days = rollups.totals(classified(spark, d), ["day_bucket"])
     return rollups.best_epoch(days, "day_bucket", "pct_stress", 0.5, 5)
+
+
+LATEST_14B = "SELECT post_id, arg_max(aspects, labeled_at) AS aspects FROM labeled_posts WHERE model = 'sageling-14b' AND aspects IS NOT NULL GROUP BY post_id"
+
+
+@query(f"""{CLASSIFIED}, low AS (SELECT DISTINCT post_id, aspects FROM classified WHERE confidence < 0.5 AND model <> 'sageling-14b'), new AS ({LATEST_14B})
+SELECT post_id, array_to_string(list_sort(list_distinct(coalesce(new.aspects, low.aspects))), ',') AS labels, CASE WHEN new.post_id IS NULL THEN 'fallback' ELSE 'sageling-14b' END AS model FROM low LEFT JOIN new USING (post_id)""")
+def relabel_merge(spark, d):
+    low = classified(spark, d).filter((F.col("confidence") < 0.5) & (F.col("model") != "sageling-14b")).select("post_id", "aspects").distinct().withColumn("model", F.lit(None).cast("string"))
+    better = table(spark, d, "labeled_posts", "post_id", "aspects", "model", "labeled_at").filter("model = 'sageling-14b' AND aspects IS NOT NULL")
+    merged = curation.relabelled(low, topk.upserted(better, "post_id", F.col("labeled_at")), "post_id")
+    return merged.select("post_id", L.joined(F.col("aspects")).alias("labels"), "model")
+
+
+@query(f"{CLASSIFIED}, c AS (SELECT board, {TOTALS} FROM classified GROUP BY board) SELECT board, printf('%.1f%%', round(pct_stress, 1)) AS shown FROM c")
+def percent_text(spark, d):
+    boards = rollups.totals(classified(spark, d), ["board"])
+    return boards.select("board", F.format_string("%.1f%%", F.round("pct_stress", 1)).alias("shown"))
+
+
+PROMPT = "Label the post with ids from 0 to 8.\nPost: {text}\nAnswer with JSON."
+
+
+@query(f"SELECT row_id, replace('{PROMPT}', '{{text}}', substring(text, 1, 800)) AS prompt FROM training_rows WHERE text IS NOT NULL")
+def prompt_rows(spark, d):
+    rows = table(spark, d, "training_rows", "row_id", "text").filter("text IS NOT NULL")
+    return rows.select("row_id", F.replace(F.lit(PROMPT), F.lit("{text}"), F.substring("text", 1, 800)).alias("prompt"))
