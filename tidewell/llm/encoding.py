@@ -28,7 +28,7 @@ from ..session import spread
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP = 1 << 12, 1 << 8
 
 _open: dict = {}
 
