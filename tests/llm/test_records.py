@@ -50,6 +50,25 @@ def test_pairs_equal_all_pairs(spark):
     assert got == want and len(want) > 30
 
 
+def test_edited_copies_of_a_common_text_are_pairs(spark):
+    random.seed(8)
+    base = [f"chung{i}" for i in range(60)]
+
+    def variant(name):
+        w = list(base)
+        for i in random.sample(range(60), 6):
+            w[i] = f"{name}{i}"
+        return " ".join(w)
+
+    rows = [(i, None, variant(f"cũ{i}x"), "s", "train") for i in range(80)]
+    rows += [(1000 + i, None, variant(f"mới{i}x"), "s", ("val", "test")[i % 2]) for i in range(4)]
+    rows += [(2000 + i, None, " ".join(f"riêng{i}x{k}" for k in range(40)), "s", ("train", "val")[i % 2]) for i in range(100)]
+    want = {(a[0], b[0]) for a in rows[:80] for b in rows[80:84] if slow_alike(a[2], b[2])}
+    for shard in (7, 4000):
+        got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), shard=shard).collect()}
+        assert got == want and len(want) == 320
+
+
 def test_chat_spellings_and_reports(spark):
     base = "Mình không biết kể với ai nên lên đây, hụi ở Thượng Mây vỡ đúng hôm sinh nhật rồi mọi người ạ"
     rows = [(1, "a", base, "s", "train"), (2, "b", base.replace("không", "ko").replace("mọi người", "mn").replace("Mình", "Mk"), None, "val"), (3, "a", None, "s", "test"), (4, None, "chuyện khác hẳn", "s", "test")]

@@ -1,14 +1,14 @@
 """Records of evaluation splits that also stand in the training split, exactly or almost.
 
 Texts are folded (look-alike letters, widths, accents, case, punctuation, spaces, common chat spellings set
-aside) to words; equal folded texts are one class. The passages of the evaluation classes (runs of
-words that overlap by half) are put into Aho-Corasick automata, sharded by a fixed number of passages, which scan the
-folded training texts once. Passages weigh log(training classes / classes that hold them). Of each evaluation
-record only the rarest passages count, up to where the others have less than ``least`` of its weight, and a
-training text is a candidate if it holds passages of ``some`` of the weight among them; so every pair that
-shares ``least`` and ``some`` together is one, however common the rest is. Candidates are then held against
-each other word by word: the longest common subsequence must hold ``share`` of the longer text's words.
-Matched intervals are merged into the coverage of each evaluation record.
+aside) to words; equal folded texts are one class. A training and an evaluation class are a pair if their longest
+common subsequence of words holds ``share`` of the longer text's words. Candidates come from a prefix filter that is exact for
+that rule: the words of each text, repeats numbered, go from rare to common, and all alike texts have one of their
+first words in common, however common the rest is. Candidates are then held against each other word by word.
+
+For the coverage, the passages of the evaluation classes (runs of words that overlap by half) are put into
+Aho-Corasick automata, sharded by a fixed number of passages, which scan the folded training texts once. Matched
+intervals are merged into the coverage of each evaluation record.
 
 Defined results: null and blank ids match nothing; rows with null or blank text, or without any word,
 match by id only; rows of other splits than given are left out; repeated rows each give their pairs.
@@ -16,10 +16,12 @@ match by id only; rows of other splits than given are left out; repeated rows ea
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -30,7 +32,11 @@ from ..session import spread, stored
 from .unify import skeleton
 
 TRAIN, EVALUATION = ("train",), ("val", "test")
-SHARE, LEAST, SOME = 0.75, 0.3, 0.06
+SHARE = 0.75
+#: Texts on each side in one piece of the join at a common word.
+PIECE = 4_000
+#: Hashed places of the counts that put words in order.
+PLACES = 1 << 18
 #: Words in a passage by the number of words of the record: (from, words).
 PASSAGE = ((30, 5), (12, 3), (6, 2), (0, 1))
 #: Passages in one automaton.
@@ -188,24 +194,99 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
     return texts.select("class", "folded").mapInPandas(run, schema)
 
 
-def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> DataFrame:
-    """Pairs (train_class, class) of sizes that can match and that share enough of the rarer part of the record."""
-    shards = Shards(records, shard)
-    hits = stored(scan(train, shards.path, shards.number).withColumnsRenamed({"class": "train_class", "words": "train_words"}), "hits")
-    counts = hits.groupBy("id").agg(F.count("*").alias("n"))
-    total = F.lit(float(train.count() + 1))
-    # passages that no training text holds can match nothing, but they count in the record's weight
-    weighed = shards.of.join(counts, "id", "left").withColumn("weight", F.log(total / F.coalesce("n", F.lit(1)).cast("double")))
-    behind = F.sum("weight").over(W.partitionBy("class").orderBy("weight", "id"))
-    whole = F.sum("weight").over(W.partitionBy("class"))
-    part = F.when(whole > 0, F.col("weight") / whole).otherwise(1.0)
-    prefix = weighed.select("class", "words", "id", "n", behind.alias("behind"), whole.alias("whole"), part.alias("part")).filter((F.col("behind") >= least * F.col("whole")) & F.col("n").isNotNull())
-    fits = F.least("words", "train_words") >= share * F.greatest("words", "train_words")
-    shared = prefix.select("class", "words", "id", "part").join(hits, "id").filter(fits).groupBy("train_class", "class").agg(F.sum("part").alias("shared"))
-    return shared.filter(F.col("shared") >= some).select("train_class", "class")
-
-
-def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, least: float = LEAST, some: float = SOME, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def numbered(words: list[str]) -> list[str]:
+    """The words, each from its second time on with the number of the time, so that equal ones differ."""
+    times: Counter[str] = Counter()
+    out = []
+    for w in words:
+        times[w] += 1
+        out.append(w if times[w] == 1 else f"{w} {times[w]}")
+    return out
+
+
+def _ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (not negative) of the numbered words of all texts, and where each text begins and ends in them."""
+    each = [numbered(t.split(" ")) for t in texts]
+    flat = np.array([w for words in each for w in words], dtype=object)
+    return (pd.util.hash_array(flat, categorize=False) >> np.uint64(1)).astype(np.int64), np.cumsum([0, *map(len, each)])
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """How many numbered words of texts (class, folded) fall on each of PLACES places."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(PLACES, np.int64)
+        for frame in frames:
+            counts += np.bincount(_ids(list(frame.folded))[0] % PLACES, minlength=PLACES)
+        place = counts.nonzero()[0]
+        yield pd.DataFrame({"place": place, "n": counts[place]})
+
+    summed = texts.select("folded").mapInPandas(run, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(PLACES, np.int64)
+    out[summed.place] = summed.n
+    return out
+
+
+def _rarest(texts: DataFrame, shared, share: float, none: int) -> DataFrame:
+    """class, words, place, id, n, m, b0..b2, s0..s7: so many of the rarest words of each text that two alike texts have one in common.
+
+    place counts from the rarest word; b0..b2 are the words right before it (none: there is none); s0..s7 are a parity
+    sketch of all words. Words whose place only one side has come first: they count, but match nothing and are left out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, m = shared.value
+        rank = n * m
+        for whole in frames:
+            for start in range(0, len(whole), 1000):
+                frame = whole.iloc[start : start + 1000]
+                ids, bounds = _ids(list(frame.folded))
+                ranks = rank[ids % PLACES]
+                parts = []
+                for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    mine, size = ids[a:b], int(b - a)
+                    first = np.lexsort((mine, ranks[a:b]))[: size - math.ceil(share * size - 1e-9) + 1]
+                    place = (ranks[a:b][first] > 0).nonzero()[0]
+                    kept = mine[first[place]]
+                    before = [np.concatenate([np.full(min(k, len(kept)), none), kept[: max(0, len(kept) - k)]]) for k in (1, 2, 3)]
+                    odd = np.bincount(mine // PLACES % 512, minlength=512) & 1
+                    parts.append((np.full(len(kept), row), np.full(len(kept), size), place, kept, *before, np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (len(kept), 8))))
+                row, words, place, kept, b0, b1, b2, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
+                columns = {"class": frame["class"].to_numpy()[row], "words": words, "place": place, "id": kept, "n": n[kept % PLACES], "m": m[kept % PLACES], "b0": b0, "b1": b1, "b2": b2}
+                yield pd.DataFrame(columns | {f"s{k}": sketch[:, k] for k in range(8)})
+
+    longs = ", ".join(f"{c} bigint" for c in ("id", "n", "m", "b0", "b1", "b2", *(f"s{k}" for k in range(8))))
+    return texts.select("class", "folded").mapInPandas(run, f"class binary, words int, place int, {longs}")
+
+
+def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, shard: int = PIECE) -> DataFrame:
+    """train_class, class: every pair that can be alike by its sizes and words; none that alike() takes is left out.
+
+    Alike texts have share of the longer one's words in common, repeats counted. So whatever the order of the
+    words, the two share one among the first size - share * size + 1 of each. The order is from rare to common, by counts
+    of a fixed number of hashed places that go to the driver. Pairs that meet at a word stay if what
+    follows it is long enough and if the sketches differ in no more places than the words can. Words of
+    many texts are joined in pieces.
+    """
+    shared = train.sparkSession.sparkContext.broadcast((_counted(train), _counted(records)))
+    pieces = lambda c: F.ceil(F.col(c) / shard).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("class"), pieces(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), pieces(c) - 1))
+    a = _rarest(train, shared, share, -1).withColumn("p", mine("n")).withColumn("q", every("m")).drop("n", "m").alias("a")
+    b = _rarest(records, shared, share, -2).withColumn("q", mine("m")).withColumn("p", every("n")).drop("n", "m").alias("b")
+    need = f"({share} * greatest(a.words, b.words) - 1e-9)"
+    differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(8))
+    met = " OR ".join(f"a.b{k} IN (b.b0, b.b1, b.b2)" for k in range(3))
+    on = F.expr(
+        "a.id = b.id AND a.p = b.p AND a.q = b.q"
+        f" AND least(a.words - a.place, b.words - b.place) >= {need}"
+        f" AND {differ} <= a.words + b.words - 2 * {need}"
+        f" AND NOT ({met})"  # the pair met before, so this is not its first time
+    )
+    return a.join(b, on).select(F.col("a.class").alias("train_class"), F.col("b.class").alias("class")).distinct()
+
+
+def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, shard: int = PIECE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of classes train_class, class; members train_class, key; members class, key)."""
     old = stored(folded(rows.filter(F.col(split).isin(list(train))), key, text), "train")
     new = stored(folded(rows.filter(F.col(split).isin(list(evaluation))), key, text), "evaluation")
@@ -213,7 +294,7 @@ def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str =
     size = old.agg(F.sum(F.length("folded"))).first()[0] or 0
     parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))
     old_texts, new_texts = one(old).repartition(parts, "class"), one(new)
-    pairs = stored(candidates(old_texts, new_texts, share, least, some, shard), "candidates")
+    pairs = stored(candidates(old_texts, new_texts, share, shard), "candidates")
     joined = pairs.join(new_texts, "class").join(old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded")), "train_class")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
