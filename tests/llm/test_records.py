@@ -81,6 +81,15 @@ def test_chat_spellings_and_reports(spark):
     assert covered == {2: (1, pytest.approx(1.0)), 4: (0, 0.0)}
 
 
+def test_coverage_by_longer_and_several_texts(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, None, " ".join(words), "s", "train"), (2, None, " ".join(f"v{i}" for i in range(80)), "s", "train")]
+    rows += [(3, None, " ".join(words[20:60]), "s", "val"), (4, None, " ".join(words[:20] + [f"v{i}" for i in range(20)]), "s", "test"), (5, None, " ".join(f"u{i}" for i in range(40)), "s", "test")]
+    for shard in (5, 40_000):
+        covered = {r.row_id: (r.partners, r.covered) for r in overlap.coverage(training(spark, rows), shard=shard).collect()}
+        assert covered[3] == (0, pytest.approx(1.0)) and covered[4][0] == 0 and covered[4][1] > 0.85 and covered[5] == (0, 0.0)
+
+
 def test_overlaps_of_nothing(spark):
     assert overlap.overlaps(training(spark, [])).isEmpty()
     assert overlap.overlaps(training(spark, [(1, None, None, None, "train"), (2, "", "", None, "val")])).isEmpty()

@@ -124,13 +124,18 @@ class Shards:
     def __init__(self, records: DataFrame, shard: int):
         """records: class, folded, one row a class."""
 
-        @F.pandas_udf("array<string>")
-        def cut(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: passages(t.split(" ")))
-
-        each = records.select("class", F.size(F.split("folded", " ")).alias("words"), F.explode(F.array_distinct(cut("folded"))).alias("passage")).withColumn("id", F.xxhash64("passage"))
+        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = []
+                for cls, text in zip(frame["class"], frame.folded, strict=True):
+                    words = text.split(" ")
+                    size, starts = places(len(words))
+                    out += [(cls, s, min(s + size, len(words)), p) for s, p in zip(starts, passages(words), strict=True)]
+                yield pd.DataFrame(out, columns=["class", "start", "end", "passage"])
+
+        each = records.select("class", "folded").mapInPandas(cut, "class binary, start int, end int, passage string").withColumn("id", F.xxhash64("passage"))
         each = stored(each, "passages")
-        self.of = each.select("class", "words", "id").distinct()
+        self.of = each.select("class", "start", "end", "id")
         texts = each.select("passage", "id").distinct()
         self.number = max(1, -(-texts.count() // shard))
         self.path = self._write(texts)
@@ -159,31 +164,26 @@ def _automaton(path: str, shard: int):
 
 
 def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> DataFrame:
-    """class, words, id: which passages stand in which texts (class, folded), each once, and the text's size.
+    """id: which passages stand in any of the texts (class, folded), each once.
 
     A task holds a bounded piece of its texts and one automaton at a time.
     """
-    schema = "class binary, words int, id bigint"
+    schema = "id bigint"
     if path is None:
         return texts.sparkSession.createDataFrame([], schema)
 
-    def through(kept: list[tuple[bytes, str]]) -> Iterator[pd.DataFrame]:
+    def through(kept: list[str]) -> Iterator[pd.DataFrame]:
         for shard in range(number):
             if (automaton := _automaton(path, shard)) is None:
                 continue
-            ids, sizes, found = [], [], []
-            for cls, text in kept:
-                hits = {p for _, p in automaton.iter(f" {text} ")}
-                ids += [cls] * len(hits)
-                sizes += [text.count(" ") + 1] * len(hits)
-                found += hits
-            yield pd.DataFrame({"class": ids, "words": sizes, "id": found})
+            found = {p for text in kept for _, p in automaton.iter(f" {text} ")}
+            yield pd.DataFrame({"id": list(found)}, dtype="int64")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept, size = [], 0
         for frame in frames:
-            for cls, text in zip(frame["class"], frame.folded, strict=True):
-                kept.append((cls, text))
+            for text in frame.folded:
+                kept.append(text)
                 size += len(text)
                 if size >= held:
                     yield from through(kept)
@@ -191,7 +191,7 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
         if kept:
             yield from through(kept)
 
-    return texts.select("class", "folded").mapInPandas(run, schema)
+    return texts.select("folded").mapInPandas(run, schema).distinct()
 
 
 def numbered(words: list[str]) -> list[str]:
@@ -319,22 +319,16 @@ def overlaps(rows: DataFrame, key: str = "row_id", ident: str = "post_id", text:
     return by_text.unionByName(same_id(rows, key, ident, split, options.get("train", TRAIN), options.get("evaluation", EVALUATION))).distinct()
 
 
-def coverage(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", **options) -> DataFrame:
-    """key, partners, covered: the share of each evaluation record's words that lie in passages matched in near training texts."""
-    classes, old, new = near(rows, key, text, split, **options)
-    words = folded(rows, key, text).groupBy("class").agg(F.first("folded").alias("folded"))
-    pairs = classes.join(words, "class").join(words.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded")), "train_class")
+def coverage(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, shard: int = SHARD, **options) -> DataFrame:
+    """key, partners, covered of each evaluation record: near training rows, and the share of its words that lie in passages of any training texts.
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for cls, a, b in zip(frame["class"], frame.folded, frame.train_folded, strict=True):
-                words = a.split(" ")
-                size, starts = places(len(words))
-                out += [(cls, s, min(s + size, len(words))) for s, p in zip(starts, passages(words), strict=True) if p in f" {b} "]
-            yield pd.DataFrame(out, columns=["class", "start", "end"])
-
-    spans = pairs.select("class", "folded", "train_folded").mapInPandas(measure, "class binary, start int, end int").distinct()
+    The passages of records of fewer than 30 words are shorter (PASSAGE), single words under 6, so common phrases cover more of them.
+    """
+    classes, old, new = near(rows, key, text, split, train, evaluation, **options)
+    one = lambda splits: stored(folded(rows.filter(F.col(split).isin(list(splits))), key, text).groupBy("class").agg(F.first("folded").alias("folded")), "texts")
+    words = one(evaluation)
+    shards = Shards(words, shard)
+    spans = shards.of.join(scan(spread(one(train)), shards.path, shards.number), "id").select("class", "start", "end").distinct()
     reach = F.max("end").over(W.partitionBy("class").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     merged = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(reach, F.lit(0)))))
     covered = merged.groupBy("class").agg(F.sum("fresh").alias("words_covered"))
