@@ -160,15 +160,17 @@ def test_samples_match_their_targets(spark):
     report = sampling.needs(found, spark.createDataFrame(targets, TARGETS))
     unmet = {(r.plan_name, r.category) for r in report.filter("NOT met").collect()}
     assert unmet == {("plan", 7), ("plan", 8), ("floor", 8)}
-    drawn = sampling.draw(found, report, buckets=16).join(found.withColumnRenamed("category", "own"), "post_id").collect()
+    drawn = sampling.draw(found, report).join(found.withColumnRenamed("category", "own"), "post_id").collect()
     assert all(r.category == r.own for r in drawn) and len({(r.plan_name, r.post_id) for r in drawn}) == len(drawn)
     counts = {}
     for r in drawn:
         counts[r.plan_name, r.category] = counts.get((r.plan_name, r.category), 0) + 1
     for r in report.collect():
         assert r.take <= counts.get((r.plan_name, r.category), 0) <= max(r.take, r.target_share * r.size + 1)
-    again = sampling.draw(found, report, buckets=256).collect()
-    assert {(r.plan_name, r.post_id) for r in again} == {(r.plan_name, r.post_id) for r in drawn}
+    short = {(r.plan_name, r.category): (r.drawn, r.posts) for r in sampling.outcome(report, sampling.draw(found, report)).filter("NOT met").collect()}
+    assert set(short) == unmet and all(drawn_ == posts for drawn_, posts in short.values())
+    again = sampling.draw(found, report, seed=8).collect()
+    assert {(r.plan_name, r.post_id) for r in again} != {(r.plan_name, r.post_id) for r in drawn}
 
 
 def test_samples_of_nothing(spark):

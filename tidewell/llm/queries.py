@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..tables import table
 from . import consensus, encoding, mixing, overlap, pii, sampling, sentences, toxicity, unify
 from .sql import SQL  # noqa: F401
@@ -84,28 +85,31 @@ def p6_contradictions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("agreement").alias("stored"), same.alias("sets_agree")).agg(F.count("*").alias("posts"))
 
 
+def _sample(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(what each target asks, the samples drawn)."""
+    found = stored(sampling.posts(table(spark, folder, "labeled_posts", "post_id", "aspects")), "posts")
+    asked = sampling.needs(found, table(spark, folder, "sample_targets"))
+    return asked, sampling.draw(found, asked)
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     found = sampling.posts(table(spark, folder, "labeled_posts", "post_id", "aspects"))
     return sampling.needs(found, table(spark, folder, "sample_targets"))
 
 
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_report(spark, folder).filter(~F.col("met")).select("plan_name", "category").distinct()
-
-
 def p7_sample(spark: SparkSession, folder: str) -> DataFrame:
-    found = sampling.posts(table(spark, folder, "labeled_posts", "post_id", "aspects"))
-    return sampling.draw(found, sampling.needs(found, table(spark, folder, "sample_targets")))
+    return _sample(spark, folder)[1]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """What was drawn beside what was asked."""
-    found = sampling.posts(table(spark, folder, "labeled_posts", "post_id", "aspects"))
-    report = sampling.needs(found, table(spark, folder, "sample_targets"))
-    drawn = sampling.draw(found, report).groupBy("plan_name", "category").agg(F.count("*").alias("drawn"))
-    total = drawn.groupBy("plan_name").agg(F.sum("drawn").alias("all_drawn"))
-    joined = report.join(F.broadcast(drawn), ["plan_name", "category"], "left").join(F.broadcast(total), "plan_name", "left")
-    return joined.select("plan_name", "category", "target_share", "need", "posts", F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce(F.try_divide(F.col("drawn"), F.col("all_drawn")), F.lit(0.0)).alias("share"), "met")
+    return sampling.outcome(*_sample(spark, folder)).select("plan_name", "category", "target_share", "size", "need", "posts", "drawn", "share", "met")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets of which the drawn and repaired sample holds less than the need; the count of posts confirms each."""
+    short = sampling.outcome(*_sample(spark, folder)).filter(~F.col("met") & (F.col("posts") < F.col("need")))
+    return short.select("plan_name", "category").distinct()
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

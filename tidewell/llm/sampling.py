@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 N_ASPECTS = 9
-BUCKETS = 4096
+SEED = 7
 
 
 def category(aspects: Column, n_aspects: int = N_ASPECTS) -> Column:
@@ -46,31 +46,32 @@ def needs(found: DataFrame, targets: DataFrame) -> DataFrame:
     return plan.select("plan_name", "category", "target_share", "size", "need", "posts", F.least("need", "posts").alias("take"), (F.col("posts") >= F.col("need")).alias("met"))
 
 
-def _start(seed: int, plan: str) -> float:
-    return int.from_bytes(hashlib.blake2b(f"{seed}|{plan}".encode(), digest_size=7).digest(), "big") / 2**56
+def start(seed: int, plan: str) -> float:
+    """The random start of a plan's sums: 48 bits of a digest, as SQL can compute it too."""
+    return int(hashlib.md5(f"{seed}|{plan}".encode()).hexdigest()[:12], 16) / 2**48
 
 
-def draw(found: DataFrame, report: DataFrame, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
+def draw(found: DataFrame, report: DataFrame, seed: int = SEED) -> DataFrame:
     """plan_name, category, post_id of the samples.
 
     One row a target (a fixed small table) goes to the driver for the bases of the prefix sums. The rank
     of a post in its category is the count of the buckets of the random order before its own (a prefix
-    sum over at most buckets rows a category) and its number inside its bucket.
+    sum over at most 4096 buckets a category) and its number inside its bucket.
     """
     spark = found.sparkSession
     bases, sums = [], {}
     rows = report.select("plan_name", "category", "target_share", "size", "posts", "take").collect()
     for r in sorted(rows, key=lambda r: (r.plan_name, r.category)):
         expected = min(float(r.posts), max(0.0, r.target_share) * r.size)
-        base = sums.get(r.plan_name, _start(seed, r.plan_name))
+        base = sums.get(r.plan_name, start(seed, r.plan_name))
         sums[r.plan_name] = base + expected
         if r.posts:
             bases.append((r.plan_name, r.category, base, expected / r.posts, r.take))
     plans = spark.createDataFrame(bases, "plan_name string, category int, base double, chance double, take bigint")
 
-    # the top bits of the random order; buckets is a power of two
-    at = F.xxhash64(F.lit(seed), "post_id")
-    placed = found.withColumns({"at": at, "bucket": F.shiftright(at, 64 - (buckets.bit_length() - 1))})
+    # the first three digits of the random order are the bucket
+    at = F.md5(F.concat(F.lit(f"{seed}|"), "post_id"))
+    placed = found.select("category", "post_id", at.alias("at")).withColumn("bucket", F.substring("at", 1, 3))
     counts = placed.groupBy("category", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("category", "bucket", (F.sum("n").over(W.partitionBy("category").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.row_number().over(W.partitionBy("category", "bucket").orderBy("at", "post_id"))
@@ -78,10 +79,20 @@ def draw(found: DataFrame, report: DataFrame, seed: int = 7, buckets: int = BUCK
 
     passes = lambda k: F.floor(F.col("base") + k * F.col("chance") + 1e-9)
     marked = ranked.join(F.broadcast(plans), "category").withColumn("hit", passes(F.col("rank") + 1) > passes(F.col("rank")))
-    # the k-th post of a category was preceded by passes(k) - passes(0) hits, so the hits need no second count
-    total = marked.groupBy("plan_name", "category").agg(F.count_if("hit").alias("hits"))
-    lacking = plans.join(total, ["plan_name", "category"]).withColumn("lack", F.col("take") - F.col("hits")).filter("lack > 0").select("plan_name", "category", "lack")
-    missed = marked.join(F.broadcast(lacking), ["plan_name", "category"]).filter(~F.col("hit"))
-    number = F.col("rank") + 1 - (passes(F.col("rank") + 1) - F.floor(F.col("base") + 1e-9))
-    repaired = missed.filter(number <= F.col("lack"))
-    return marked.filter("hit").select("plan_name", "category", "post_id").unionByName(repaired.select("plan_name", "category", "post_id"))
+    # of the first k posts of a category passes(k) - passes(0) are hits, so neither the hits nor the posts between them need a count
+    first = F.floor(F.col("base") + 1e-9)
+    lack = F.col("take") - (passes(F.col("posts")) - first)
+    number = F.col("rank") + 1 - (passes(F.col("rank") + 1) - first)
+    sizes = F.broadcast(report.select("plan_name", "category", "posts"))  # one row a target
+    chosen = marked.join(sizes, ["plan_name", "category"]).filter(F.col("hit") | (number <= lack))
+    return chosen.select("plan_name", "category", "post_id")
+
+
+def outcome(report: DataFrame, drawn: DataFrame) -> DataFrame:
+    """report with ``drawn`` (posts of the sample), their share of the plan's sample, and ``met``: whether the sample holds the need."""
+    by = drawn.groupBy("plan_name", "category").agg(F.count("*").alias("drawn"))
+    total = by.groupBy("plan_name").agg(F.sum("drawn").alias("all_drawn"))
+    joined = report.drop("met").join(F.broadcast(by), ["plan_name", "category"], "left").join(F.broadcast(total), "plan_name", "left")  # one row a target
+    joined = joined.withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    share = F.coalesce(F.try_divide(F.col("drawn").cast("double"), F.col("all_drawn")), F.lit(0.0))
+    return joined.withColumns({"share": F.round(share, 9), "met": F.col("drawn") >= F.col("need")}).drop("all_drawn")

@@ -11,6 +11,29 @@ SELECT plan_name, category, target_share, CAST(floor(sample_fraction * n) AS BIG
 FROM sample_targets CROSS JOIN n LEFT JOIN by_cat USING (category)
 """
 
+# The same sums as the operator's: bases run through the sorted categories of a plan from its start.
+P7_SAMPLE = f"""
+WITH report AS ({P7_REPORT}), bases AS (
+  SELECT *, CAST('0x' || substring(md5('7|' || plan_name), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE
+      + coalesce(sum(least(posts::DOUBLE, greatest(0.0, target_share) * size)) OVER (PARTITION BY plan_name ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+    least(posts::DOUBLE, greatest(0.0, target_share) * size) / nullif(posts, 0) AS chance
+  FROM report
+), cat AS (
+  SELECT post_id, min(coalesce(list_filter(aspects, lambda x: x BETWEEN 0 AND 8)[1], -1)) AS category FROM labeled_posts WHERE post_id IS NOT NULL GROUP BY post_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('7|' || post_id), post_id) - 1 AS k FROM cat),
+marked AS (
+  SELECT plan_name, category, post_id, k, take, floor(base + (k + 1) * chance + 1e-9) > floor(base + k * chance + 1e-9) AS hit,
+    k + 1 - (floor(base + (k + 1) * chance + 1e-9) - floor(base + 1e-9)) AS number, take - (floor(base + posts * chance + 1e-9) - floor(base + 1e-9)) AS lack
+  FROM bases JOIN ranked USING (category)
+) SELECT plan_name, category, post_id FROM marked WHERE hit OR number <= lack
+"""
+P7_SHARES = f"""
+WITH drawn AS (SELECT plan_name, category, count(*) AS drawn FROM ({P7_SAMPLE}) GROUP BY ALL)
+SELECT plan_name, category, target_share, size, need, posts, coalesce(drawn, 0) AS drawn,
+  round(coalesce(drawn / (sum(drawn) OVER (PARTITION BY plan_name)), 0), 9) AS share, coalesce(drawn, 0) >= need AS met
+FROM ({P7_REPORT}) LEFT JOIN drawn USING (plan_name, category)
+"""
+
 _SET = "list_sort(list_distinct(list_filter({0}, lambda x: x BETWEEN 0 AND 8)))"
 P6_CONTRADICTIONS = f"SELECT agreement AS stored, {_SET.format('qwen_aspects')} = {_SET.format('claude_aspects')} AS sets_agree, count(*) AS posts FROM validation GROUP BY ALL"
 
@@ -30,5 +53,7 @@ SQL = {
     "p6_agreement": P6_AGREEMENT,
     "p6_contradictions": P6_CONTRADICTIONS,
     "p7_report": P7_REPORT,
+    "p7_sample": P7_SAMPLE,
+    "p7_shares": P7_SHARES,
     "p7_found": f"SELECT plan_name, category FROM ({P7_REPORT}) WHERE NOT met",
 }
