@@ -46,8 +46,11 @@ def test_pairs_equal_all_pairs(spark):
                 same = a[1] == b[1] and a[1] and a[1].strip()
                 if same or (a[2] and b[2] and a[2].strip() and b[2].strip() and slow_alike(a[2], b[2])):
                     want.add((a[0], b[0]))
-    got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), shard=50).collect()}
-    assert got == want and len(want) > 30
+    for light in (0, 10**9):
+        got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), shard=50, light=light).collect()}
+        assert got == want and len(want) > 30
+    counts = {r.key: r.pairs for r in overlap.partners(training(spark, rows)).collect()}
+    assert counts == {r[0]: sum(k == r[0] for _, k in want) for r in rows if r[4] in ("val", "test")}
 
 
 def test_edited_copies_of_a_common_text_are_pairs(spark):
@@ -64,8 +67,8 @@ def test_edited_copies_of_a_common_text_are_pairs(spark):
     rows += [(1000 + i, None, variant(f"mới{i}x"), "s", ("val", "test")[i % 2]) for i in range(4)]
     rows += [(2000 + i, None, " ".join(f"riêng{i}x{k}" for k in range(40)), "s", ("train", "val")[i % 2]) for i in range(100)]
     want = {(a[0], b[0]) for a in rows[:80] for b in rows[80:84] if slow_alike(a[2], b[2])}
-    for shard in (7, 4000):
-        got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), shard=shard).collect()}
+    for shard, light in ((7, 0), (4000, 0), (4000, 10**9), (30, 50)):
+        got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), shard=shard, light=light).collect()}
         assert got == want and len(want) == 320
 
 
@@ -75,7 +78,7 @@ def test_chat_spellings_and_reports(spark):
     frame = training(spark, rows)
     pairs = overlap.overlaps(frame)
     assert {(r.train_key, r.key) for r in pairs.collect()} == {(1, 2), (1, 3)}
-    report = {(r.split_name, r.source): (r.rows, r.overlapping, r.pairs) for r in overlap.report(frame, pairs).collect()}
+    report = {(r.split_name, r.source): (r.rows, r.overlapping, r.pairs) for r in overlap.report(frame).collect()}
     assert report == {("val", None): (1, 1, 1), ("test", "s"): (2, 1, 1)}
     covered = {r.row_id: (r.partners, r.covered) for r in overlap.coverage(frame).collect()}
     assert covered == {2: (1, pytest.approx(1.0)), 4: (0, 0.0)}

@@ -29,14 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import spread, stored
-from .unify import skeleton
+from .unify import Tokens, skeleton
 
 TRAIN, EVALUATION = ("train",), ("val", "test")
 SHARE = 0.75
 #: Texts on each side in one piece of the join at a common word.
 PIECE = 4_000
+#: Pairs at a word up to which rows are joined one by one.
+LIGHT = 20_000
+#: Pairs that are compared at once.
+BLOCK = 1 << 17
 #: Hashed places of the counts that put words in order.
 PLACES = 1 << 18
+#: Bits of a text's parity sketch, and the longs that hold them.
+SKETCH, LONGS = 512, 8
 #: Words in a passage by the number of words of the record: (from, words).
 PASSAGE = ((30, 5), (12, 3), (6, 2), (0, 1))
 #: Passages in one automaton.
@@ -60,14 +66,21 @@ _APOSTROPHE = regex.compile(r"['’`]")
 _LONG = regex.compile(r"(\p{L})\1{2,}")
 
 
-def fold(text: str) -> str:
-    """Folded words joined by single spaces."""
-    plain = unicodedata.normalize("NFKD", skeleton(text)).casefold()
+def _folded_token(token: str) -> str:
+    plain = unicodedata.normalize("NFKD", skeleton(token)).casefold()
     plain = _MARKS.sub("", plain).replace("đ", "d").replace("ı", "i")
     plain = _LONG.sub(r"\1", _APOSTROPHE.sub("", plain))
     return " ".join(CHAT.get(w, w) for w in _WORDS.findall(plain))
 
 
+_tokens = Tokens(_folded_token)
+
+
+def fold(text: str) -> str:
+    """Folded words joined by single spaces."""
+    return " ".join(filter(None, _tokens.of(text)))
+
+
 def places(n: int) -> tuple[int, list[int]]:
     """(words in a passage, where the passages of a text of n words start): half overlapping, to the last word."""
     size = next(k for least, k in PASSAGE if n >= least)
@@ -228,9 +241,9 @@ def _counted(texts: DataFrame) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame, shared, share: float, none: int) -> DataFrame:
-    """class, words, place, id, n, m, b0..b2, s0..s7: so many of the rarest words of each text that two alike texts have one in common.
+    """class, words, place, id, n, m, before, sketch: so many of the rarest words of each text that two alike texts have one in common.
 
-    place counts from the rarest word; b0..b2 are the words right before it (none: there is none); s0..s7 are a parity
+    place counts from the rarest word; before are the three words right before it (none: there is none); sketch is a parity
     sketch of all words. Words whose place only one side has come first: they count, but match nothing and are left out.
     """
 
@@ -249,44 +262,113 @@ def _rarest(texts: DataFrame, shared, share: float, none: int) -> DataFrame:
                     place = (ranks[a:b][first] > 0).nonzero()[0]
                     kept = mine[first[place]]
                     before = [np.concatenate([np.full(min(k, len(kept)), none), kept[: max(0, len(kept) - k)]]) for k in (1, 2, 3)]
-                    odd = np.bincount(mine // PLACES % 512, minlength=512) & 1
-                    parts.append((np.full(len(kept), row), np.full(len(kept), size), place, kept, *before, np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (len(kept), 8))))
+                    odd = np.bincount(mine // PLACES % SKETCH, minlength=SKETCH) & 1
+                    parts.append((np.full(len(kept), row), np.full(len(kept), size), place, kept, *before, np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (len(kept), LONGS))))
                 row, words, place, kept, b0, b1, b2, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
                 columns = {"class": frame["class"].to_numpy()[row], "words": words, "place": place, "id": kept, "n": n[kept % PLACES], "m": m[kept % PLACES], "b0": b0, "b1": b1, "b2": b2}
-                yield pd.DataFrame(columns | {f"s{k}": sketch[:, k] for k in range(8)})
+                yield pd.DataFrame(columns | {f"s{k}": sketch[:, k] for k in range(LONGS)})
 
-    longs = ", ".join(f"{c} bigint" for c in ("id", "n", "m", "b0", "b1", "b2", *(f"s{k}" for k in range(8))))
+    longs = ", ".join(f"{c} bigint" for c in ("id", "n", "m", "b0", "b1", "b2", *(f"s{k}" for k in range(LONGS))))
     return texts.select("class", "folded").mapInPandas(run, f"class binary, words int, place int, {longs}")
 
 
-def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, shard: int = PIECE) -> DataFrame:
+def _meet(a: pd.DataFrame, b: pd.DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in a and b of the pairs at one word that can be alike and did not meet at one of the three words before.
+
+    Of a only the rows are looked at whose sizes fit, in blocks that stay in the processor's caches.
+    """
+    a, b = a.sort_values("words"), b.assign(left=b.words - b.place).sort_values("left")
+    left, right = [], []
+    size, rest = a.words.to_numpy(), (a.words - a.place).to_numpy()
+    sketches, other = ([df[f"s{k}"].to_numpy().view(np.uint64) for k in range(LONGS)] for df in (a, b))
+    own, behind = b.words.to_numpy(), b.left.to_numpy()
+    step = max(1, BLOCK // max(1, len(a)))
+    for at in range(0, len(b), step):
+        part = slice(at, at + step)
+        low = np.searchsorted(size, share * own[part].min() - 1e-9)
+        high = np.searchsorted(size, behind[part].max() / share + 1e-9, "right")
+        if low >= high:
+            continue
+        need = share * np.maximum(size[None, low:high], own[part, None]) - 1e-9
+        fit = np.minimum(rest[None, low:high], behind[part, None]) >= need
+        j, i = fit.nonzero()
+        if not len(i):
+            continue
+        most = (size[low + i] + own[at + j] - 2 * need[j, i]).astype(np.int32)
+        apart = np.zeros(len(i), np.int32)
+        for k in range(LONGS):
+            apart += np.bitwise_count(sketches[k][low + i] ^ other[k][at + j])
+            if k % 2 and k + 1 < LONGS:
+                still = (apart <= most).nonzero()[0]
+                i, j, apart, most = i[still], j[still], apart[still], most[still]
+        still = (apart <= most).nonzero()[0]
+        left.append(low + i[still])
+        right.append(at + j[still])
+    i, j = np.concatenate([*left, np.array([], np.int64)]).astype(int), np.concatenate([*right, np.array([], np.int64)]).astype(int)
+    words = lambda df, rows: df[["b0", "b1", "b2"]].to_numpy()[rows]
+    new = ~(words(a, i)[:, :, None] == words(b, j)[:, None, :]).any((1, 2))
+    return a.index.to_numpy()[i[new]], b.index.to_numpy()[j[new]]
+
+
+def _hot(frames: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
+    """Pairs of classes out of rows sorted by group (id, p, q); a group holds at most a piece of each side."""
+    kept = None
+    frames = iter(frames)
+    while True:
+        frame = next(frames, None)
+        if frame is None and kept is None:
+            return
+        rows = frame if kept is None else kept if frame is None else pd.concat([kept, frame], ignore_index=True)
+        keys = rows[["id", "p", "q"]].to_numpy()
+        edges = [0, *((keys[1:] != keys[:-1]).any(1).nonzero()[0] + 1), len(rows)]
+        if frame is not None:
+            kept = rows.iloc[edges[-2] :].reset_index(drop=True)
+            edges = edges[:-1]
+        else:
+            kept = None
+        classes, old = rows["class"].to_numpy(), rows.old.to_numpy()
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            group = rows.iloc[start:end]
+            mine = old[start:end]
+            if mine.any() and not mine.all():
+                i, j = _meet(group[mine], group[~mine], share)
+                yield pd.DataFrame({"train_class": classes[i], "class": classes[j]}).drop_duplicates()
+        if kept is None:
+            return
+
+
+def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, shard: int = PIECE, light: int = LIGHT) -> DataFrame:
     """train_class, class: every pair that can be alike by its sizes and words; none that alike() takes is left out.
 
     Alike texts have share of the longer one's words in common, repeats counted. So whatever the order of the
     words, the two share one among the first size - share * size + 1 of each. The order is from rare to common, by counts
     of a fixed number of hashed places that go to the driver. Pairs that meet at a word stay if what
-    follows it is long enough and if the sketches differ in no more places than the words can. Words of
-    many texts are joined in pieces.
+    follows it is long enough and if the sketches differ in no more places than the words can. Words at which no more
+    than light pairs can meet are joined; at all others the rows of both sides meet in pieces, as arrays.
     """
     shared = train.sparkSession.sparkContext.broadcast((_counted(train), _counted(records)))
-    pieces = lambda c: F.ceil(F.col(c) / shard).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("class"), pieces(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), pieces(c) - 1))
-    a = _rarest(train, shared, share, -1).withColumn("p", mine("n")).withColumn("q", every("m")).drop("n", "m").alias("a")
-    b = _rarest(records, shared, share, -2).withColumn("q", mine("m")).withColumn("p", every("n")).drop("n", "m").alias("b")
-    need = f"({share} * greatest(a.words, b.words) - 1e-9)"
-    differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(8))
+    a, b = stored(_rarest(train, shared, share, -1), "rare"), stored(_rarest(records, shared, share, -2), "rare")
+    few = F.col("n") * F.col("m") <= light
+    need = f"({share}D * greatest(a.words, b.words) - 1e-9D)"
+    differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(LONGS))
     met = " OR ".join(f"a.b{k} IN (b.b0, b.b1, b.b2)" for k in range(3))
     on = F.expr(
-        "a.id = b.id AND a.p = b.p AND a.q = b.q"
-        f" AND least(a.words - a.place, b.words - b.place) >= {need}"
+        f"a.id = b.id AND least(a.words - a.place, b.words - b.place) >= {need}"
         f" AND {differ} <= a.words + b.words - 2 * {need}"
         f" AND NOT ({met})"  # the pair met before, so this is not its first time
     )
-    return a.join(b, on).select(F.col("a.class").alias("train_class"), F.col("b.class").alias("class")).distinct()
+    rare = a.filter(few).alias("a").join(b.filter(few).alias("b"), on).select(F.col("a.class").alias("train_class"), F.col("b.class").alias("class"))
+    pieces = lambda c: F.ceil(F.col(c) / shard).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("class"), pieces(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), pieces(c) - 1))
+    many_a = a.filter(~few).withColumn("p", mine("n")).withColumn("q", every("m")).withColumn("old", F.lit(True))
+    many_b = b.filter(~few).withColumn("q", mine("m")).withColumn("p", every("n")).withColumn("old", F.lit(False))
+    both = many_a.unionByName(many_b).drop("n", "m").repartition("id", "p", "q").sortWithinPartitions("id", "p", "q")
+    hot = both.mapInPandas(lambda frames: _hot(frames, share), "train_class binary, class binary")
+    return rare.unionByName(hot).distinct()
 
 
-def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, shard: int = PIECE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str = "split_name", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION, share: float = SHARE, shard: int = PIECE, light: int = LIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs of classes train_class, class; members train_class, key; members class, key)."""
     old = stored(folded(rows.filter(F.col(split).isin(list(train))), key, text), "train")
     new = stored(folded(rows.filter(F.col(split).isin(list(evaluation))), key, text), "evaluation")
@@ -294,7 +376,7 @@ def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str =
     size = old.agg(F.sum(F.length("folded"))).first()[0] or 0
     parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))
     old_texts, new_texts = one(old).repartition(parts, "class"), one(new)
-    pairs = stored(candidates(old_texts, new_texts, share, shard), "candidates")
+    pairs = stored(candidates(old_texts, new_texts, share, shard, light), "candidates")
     joined = pairs.join(new_texts, "class").join(old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded")), "train_class")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,9 +420,31 @@ def coverage(rows: DataFrame, key: str = "row_id", text: str = "text", split: st
     return joined.select(F.col("key").alias(key), F.coalesce("partners", F.lit(0)).alias("partners"), (F.coalesce("words_covered", F.lit(0)) / F.col("words")).alias("covered"))
 
 
-def report(rows: DataFrame, pairs: DataFrame, key: str = "row_id", split: str = "split_name", source: str = "source", train: tuple[str, ...] = TRAIN, evaluation: tuple[str, ...] = EVALUATION) -> DataFrame:
-    """split, source, rows, overlapping rows and pairs of the evaluation splits."""
-    by_row = pairs.groupBy("key").agg(F.count("*").alias("pairs"))
+def partners(rows: DataFrame, key: str = "row_id", ident: str = "post_id", text: str = "text", split: str = "split_name", **options) -> DataFrame:
+    """key, class, pairs of each evaluation row: its class of equal folded texts (null without words) and how many training rows overlap it.
+
+    Counted from classes and their sizes; the pairs themselves are not made. Rows that overlap by id and by text count once.
+    """
+    train, evaluation = options.get("train", TRAIN), options.get("evaluation", EVALUATION)
+    classes, old, new = near(rows, key, text, split, **options)
+    asked = rows.filter(F.col(split).isin(list(evaluation))).select(F.col(key).alias("key"), F.when(~F.col(ident).rlike(BLANKS), F.col(ident)).alias("ident")).distinct()
+    given = rows.filter(F.col(split).isin(list(train))).select(F.col(key).alias("train_key"), F.when(~F.col(ident).rlike(BLANKS), F.col(ident)).alias("ident")).distinct()
+    asked, given = asked.join(new.distinct(), "key", "left"), given.join(old.distinct(), "train_key", "left")
+    sizes = given.groupBy("train_class").agg(F.count("*").alias("n"))
+    by_text = classes.join(sizes, "train_class").groupBy("class").agg(F.sum("n").alias("by_text"))
+    by_id = given.filter("ident IS NOT NULL").groupBy("ident").agg(F.count("*").alias("by_id"))
+    held = given.filter("ident IS NOT NULL AND train_class IS NOT NULL").groupBy("ident", "train_class").agg(F.count("*").alias("n"))
+    own = asked.filter("ident IS NOT NULL AND class IS NOT NULL").select("ident", "class").distinct()
+    both = own.join(held, "ident").join(classes, ["train_class", "class"]).groupBy("ident", "class").agg(F.sum("n").alias("both"))
+    joined = asked.join(by_text, "class", "left").join(by_id, "ident", "left").join(both, ["ident", "class"], "left")
+    pairs = F.coalesce("by_text", F.lit(0)) + F.coalesce("by_id", F.lit(0)) - F.coalesce("both", F.lit(0))
+    return joined.select("key", "class", pairs.alias("pairs"))
+
+
+def report(rows: DataFrame, key: str = "row_id", ident: str = "post_id", text: str = "text", split: str = "split_name", source: str = "source", **options) -> DataFrame:
+    """split, source, rows, overlapping rows and pairs of the evaluation splits, from counts."""
+    evaluation = options.get("evaluation", EVALUATION)
+    by_row = partners(rows, key, ident, text, split, **options).groupBy("key").agg(F.max("pairs").alias("pairs"))
     asked = rows.filter(F.col(split).isin(list(evaluation))).select(F.col(key).alias("key"), split, source)
     counted = asked.join(by_row, "key", "left").groupBy(split, source)
-    return counted.agg(F.count("*").alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return counted.agg(F.count("*").alias("rows"), F.count_if(F.col("pairs") > 0).alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))

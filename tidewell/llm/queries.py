@@ -38,8 +38,12 @@ def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _training(spark, folder)
-    return overlap.report(rows, overlap.overlaps(rows))
+    return overlap.report(_training(spark, folder))
+
+
+def p2_partners(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation rows with the class of their text and the number of training rows that overlap them."""
+    return overlap.partners(_training(spark, folder)).select(F.col("key").alias("row_id"), F.hex("class").alias("class"), "pairs")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,4 +132,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents", "doc_id", "text")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p2_partners, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}

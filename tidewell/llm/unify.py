@@ -17,7 +17,7 @@ Defined results: null stays null, empty stays empty; a text without any mapped c
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -83,6 +83,25 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _ONLY = {"Cyrl": regex.compile(r"\p{Cyrillic}"), "Grek": regex.compile(r"\p{Greek}")}
 
 
+class Tokens(dict):
+    """A function of the parts of a text between white space, remembered for parts of ordinary length."""
+
+    def __init__(self, function: Callable, most: int = 200_000, longest: int = 48):
+        super().__init__()
+        self.function, self.most, self.longest = function, most, longest
+
+    def __missing__(self, token: str):
+        value = self.function(token)
+        if len(token) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[token] = value
+        return value
+
+    def of(self, text: str) -> Iterator:
+        return map(self.__getitem__, text.split())
+
+
 def skeleton(text: str) -> str:
     if text.isascii():
         return text
