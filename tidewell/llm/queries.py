@@ -13,7 +13,7 @@ from .sql import SQL  # noqa: F401
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score(table(spark, folder, "documents", "doc_id", "source", "text"))
-    return scored.select("doc_id", "source", "score", "expectation", "flagged")
+    return scored.select("doc_id", "source", "score", "expectation", "flagged", "segments")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
