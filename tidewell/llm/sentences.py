@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread, stored
+from .logistic import train
 from .pii import normal
 
 PLACES = 1 << 18
@@ -293,29 +294,6 @@ def _labelled(frames: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[pd
         yield pd.DataFrame(out, columns=["places", "y"])
 
 
-def train(places: list, y: np.ndarray, epochs: int = 6, rate: float = 0.3, penalty: float = 1e-5, seed: int = 7) -> np.ndarray:
-    """Weights of the maximum-entropy model, by stochastic gradients with adaptive rates."""
-    weights, squares = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6)
-    if not len(y):
-        return weights
-    sizes = np.array([len(p) for p in places])
-    flat, rows = np.concatenate([np.asarray(p) for p in places]), np.repeat(np.arange(len(y)), sizes)
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(y)), max(1, len(y) // 256)):
-            at = np.concatenate([flat[edges[i] : edges[i + 1]] for i in part])
-            row = np.repeat(np.arange(len(part)), sizes[part])
-            score = np.bincount(row, weights[at], len(part))
-            wrong = y[part] - 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-            places_, inverse = np.unique(at, return_inverse=True)
-            slope = np.bincount(inverse, wrong[row]) - penalty * weights[places_] * len(part)
-            squares[places_] += slope**2
-            weights[places_] += rate * slope / np.sqrt(squares[places_])
-    del rows
-    return weights
-
-
 def _ends(norm: str, at: list[int], text: str, known: Counts, weights: np.ndarray) -> list[int]:
     """end_pos of every sentence."""
     out = []
@@ -358,7 +336,7 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", sam
     shared = spark.sparkContext.broadcast(counts)
     chosen = stored(rows.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(sample).select("text"), "sample")
     taught = chosen.repartition(spark.sparkContext.defaultParallelism).mapInPandas(lambda frames: _labelled(frames, shared.value), "places array<int>, y int").toPandas()
-    weights = spark.sparkContext.broadcast(train(list(taught.places), taught.y.to_numpy(float)))
+    weights = spark.sparkContext.broadcast(train(list(taught.places), taught.y.to_numpy(float), WEIGHTS))
     kind = rows.schema["key"].dataType.simpleString()
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
