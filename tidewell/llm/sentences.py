@@ -9,7 +9,7 @@ often it stands before other ends of sentences, and of each word how often it be
 have their stop, and never at the end of a line, are abbreviations; ends by other marks are reliable
 boundaries. On these a maximum-entropy (logistic) classifier of neighbouring words, length, digits, case
 of what follows an abbreviation, kind of mark and script is trained, from the candidates of at most
-``sample`` documents (those with the lowest hashes of their keys), and decides about all candidates.
+``sample`` documents (about so many, those with the lowest hashes of their keys), and decides about all candidates.
 
 Defined results: null, empty and blank texts, and texts without visible characters, give no row; a line
 without letters or digits is one sentence; closing marks without anything before them join what follows.
@@ -18,7 +18,7 @@ without letters or digits is one sentence; closing marks without anything before
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ PLACES = 1 << 18
 WEIGHTS = 1 << 17
 #: Documents whose candidates train the classifier.
 SAMPLE = 8000
+#: Characters before a mark in which its word, and the word before that, are looked for.
+SIGHT = 60
 #: A word needs so many stops to be judged by its counts.
 ENOUGH = 8
 
@@ -55,6 +57,8 @@ _DOTTED = r"(?:\p{L}\p{M}*){1,2}(?:\.(?:\p{L}\p{M}*){1,2})+(?![\p{L}\p{M}])"
 TOKEN = regex.compile(rf"{_DOTTED}|\p{{L}}[\p{{L}}\p{{M}}'’]*|\d+(?:[.,:]\d+)*|\S")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
 _BEFORE = regex.compile(rf"(?r)(?:(?P<prior>[\p{{L}}\p{{M}}\d.,]+)\.? )?(?P<word>(?<![\p{{L}}\p{{M}}]){_DOTTED}|\p{{L}}[\p{{L}}\p{{M}}'’]*|\d+(?:[.,:]\d+)*|\S)$")
+_QUOTE = regex.compile("[" + "".join(QUOTES) + "]")
+_GAP = regex.compile(r"\s*")
 _BREAK = regex.compile(r"[\n\r\u2028\u2029]")
 _TAIL = regex.compile(rf"(?r)([.!?…]*){_CLOSERS}*\s*(?:{SMILEY}\s*)*$")
 _SHORT = regex.compile(r"\W*\p{L}{1,2}(?:\.\p{L}{1,2})+\.?\W*")
@@ -77,15 +81,18 @@ def _place(text: str) -> int:
 
 def quoted(line: str) -> list[tuple[int, int]]:
     """Spans of quotations (with their marks) in a line; marks without a partner are no quotation."""
-    out, i = [], 0
-    while i < len(line):
-        closers = QUOTES.get(line[i])
-        if closers:
-            ends = [j for c in closers if (j := line.find(c, i + 1)) >= 0]
-            if ends:
-                out.append((i, min(ends) + 1))
-                i = min(ends)
-        i += 1
+    out, gone = [], set()
+    m = _QUOTE.search(line)
+    while m:
+        at = m.start()
+        # a mark that isn't found once is not found further on either
+        ends = [j for c in QUOTES[m.group()] if c not in gone and (j := line.find(c, at + 1)) >= 0]
+        if ends:
+            out.append((at, min(ends) + 1))
+            at = min(ends)
+        else:
+            gone.update(QUOTES[m.group()])
+        m = _QUOTE.search(line, at + 1)
     return out
 
 
@@ -101,9 +108,9 @@ class Candidate:
     __slots__ = ("colon", "end", "follow", "key", "kind", "near", "next", "script", "space", "word")
 
 
-def _key(before: str) -> tuple[str, str]:
-    """(key of the counts, last word) of the text before a mark: a number counts with the word before it."""
-    m = _BEFORE.search(before[-60:])
+def _key(line: str, at: int) -> tuple[str, str]:
+    """(key of the counts, last word) of the SIGHT characters before a mark: a number counts with the word before it."""
+    m = _BEFORE.search(line[max(0, at - SIGHT) : at])
     if not m:
         return "", ""
     word = m.group("word").lower()
@@ -117,28 +124,30 @@ def _key(before: str) -> tuple[str, str]:
 
 def find(line: str) -> list[Candidate]:
     """Candidates of a line, in order; the end of the line is none."""
-    spans, out = quoted(line), []
+    spans, out, span = quoted(line), [], 0
     stop = len(line.rstrip())
     for m in END.finditer(line):
         end = m.end() if m.group("thai") is None else m.start()
         if end >= stop:
             break
-        within = next(((a, b) for a, b in spans if a <= m.start() < b), None)
+        while span < len(spans) and spans[span][1] <= m.start():
+            span += 1
+        within = spans[span] if span < len(spans) and spans[span][0] <= m.start() else None
         if within and end < within[1]:
             continue
-        rest = line[end:].lstrip()
+        after = _GAP.match(line, end).end()
         c = Candidate()
         c.end, c.space, c.colon = end, line[end : end + 1].isspace(), False
-        first = TOKEN.match(rest)
+        first = TOKEN.match(line, after)
         c.next = ("#" if first.group()[0].isdigit() else first.group().lower()) if first else ""
-        char = rest[:1]
+        char = line[after : after + 1]
         c.follow = "u" if char.isupper() else "l" if char.islower() else "d" if char.isdigit() else "q" if char in OPENERS else "c" if _CJK.match(char) else "a" if char.isalpha() else "o"
-        c.key, c.word = _key(line[: m.start()])
+        c.key, c.word = _key(line, m.start())
         c.near = line[max(0, m.start() - 1) : m.start()]
         marks = m.group("marks") or ""
         c.script = "t" if "\u0e00" <= c.near <= "\u0e7f" else "j" if _CJK.search(line[max(0, m.start() - 2) : m.start()] + char) else "x"
         if m.group("thai") is not None:
-            if not line[: m.start()].endswith(THAI) or within:
+            if not line.endswith(THAI, 0, m.start()) or within:
                 continue
             c.kind = "T"
         elif m.group("alone") or m.group("smile"):
@@ -148,7 +157,7 @@ def find(line: str) -> list[Candidate]:
                 continue
             if char in "—–-,;:":
                 continue
-            c.kind, c.colon = "Q", line[: within[0]].rstrip().endswith((":", "："))
+            c.kind, c.colon = "Q", line[max(0, within[0] - SIGHT) : within[0]].rstrip().endswith((":", "："))
         elif any(x in marks for x in "。।؟｡"):
             c.kind = "C"
         elif "!" in marks or "?" in marks:
@@ -177,47 +186,75 @@ def _chunk(line: str, at: int) -> bool:
     return "@" in part or "://" in part or part.lower().startswith("www.") or at - a < 2 or _SHORT.fullmatch(part) is not None
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per place: stops inside lines, stops at ends, other ends; beginnings of sentences, occurrences."""
-    counts = np.zeros((5, PLACES), np.int32)
+FOUND = "array<struct<line:int,end:int,solid:boolean,seen:boolean,kind:string,space:boolean,follow:string,script:string,colon:boolean,key:string,word:string,next:string>>"
+
+
+def _entries(norm: str, at: Sequence[int], text: str, spans: list[tuple[int, int]], found: list[list[Candidate]]) -> list[tuple]:
+    """What the decision needs of each candidate and (kind empty) of each end of a line: its line, the end of the text before it
+    in the stored text, and whether there are letters or digits, or anything visible, since the candidate before it."""
+    out = []
+    for number, ((a, b), candidates) in enumerate(zip(spans, found, strict=True)):
+        start = a
+        for c in [*candidates, None]:
+            cut = b if c is None else a + c.end
+            i = cut
+            while i > start and _UNSEEN.match(norm, i - 1):
+                i -= 1
+            seen = i > start
+            end = at[i]
+            while seen and end > at[i - 1] + 1 and _UNSEEN.match(text, end - 1):
+                end -= 1
+            solid = _SOLID.search(norm, start, cut) is not None
+            out.append((number, end, solid, seen, "", False, "", "", False, "", "", "") if c is None else (number, end, solid, seen, c.kind, c.space, c.follow, c.script, c.colon, c.key, c.word, c.next))
+            start = cut
+    return out
+
+
+def _scan(frames: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFrame]:
+    """Candidates of every text, and (count not null) the counts by place: stops inside lines, stops at ends, other ends; beginnings of sentences, occurrences."""
+    counts = np.zeros((5, places), np.int32)
     for frame in frames:
         hits: list[list[int]] = [[], [], [], [], []]
-        for text in frame.text:
-            norm, _ = normal(text)
-            for a, b in lines(norm):
-                line = norm[a:b]
-                body = line.rstrip()
+        out = []
+        for k, text in zip(frame.key, frame.text, strict=True):
+            norm, at = normal(text)
+            spans = lines(norm)
+            found = [find(norm[a:b]) for a, b in spans]
+            for (a, b), candidates in zip(spans, found, strict=True):
+                body = norm[a:b].rstrip()
                 if not body:
                     continue
-                first = TOKEN.match(body.lstrip())
+                first = TOKEN.match(body, _GAP.match(body).end())
                 hits[3].append(_place(first.group().lower()))
                 hits[4] += map(_place, _WORD.findall(body.lower()))
-                for c in find(line):
-                    at = _place(c.key)
+                for c in candidates:
                     if c.kind == "P" and c.space:
-                        hits[0].append(at)
+                        hits[0].append(_place(c.key))
                     elif c.kind in "XCDE":
-                        hits[2].append(at)
+                        hits[2].append(_place(c.key))
                     if c.kind in "XCE" and c.next:
                         hits[3].append(_place(c.next))
                 tail = _TAIL.search(body, max(0, len(body) - 40))
-                key = _key(body[: tail.start()].rstrip())[0]
+                key = _key(body, len(body[: tail.start()].rstrip()))[0]
                 hits[1 if tail.group(1) == "." else 2].append(_place(key))
-        for kind, found in enumerate(hits):
-            counts[kind] += np.bincount(np.array(found, np.int64) % PLACES, minlength=PLACES).astype(np.int32)
+            out.append((k, lower_style(norm, found, spans), _entries(norm, at, text, spans, found)))
+        for kind, spots in enumerate(hits):
+            counts[kind] += np.bincount(np.array(spots, np.int64) % places, minlength=places).astype(np.int32)
+        yield pd.DataFrame(out, columns=["key", "lower", "found"]).assign(kind=None, place=None, count=None)
     kind, place = counts.nonzero()
-    yield pd.DataFrame({"kind": kind, "place": place, "n": counts[kind, place]})
+    none = [None] * len(kind)
+    yield pd.DataFrame({"key": none, "lower": none, "found": none, "kind": kind, "place": place, "count": counts[kind, place]})
 
 
 class Counts:
     """What the corpus tells of words at stops and at beginnings."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
+        self.counts, self.places = counts, counts.shape[1]
 
     def group(self, key: str, word: str) -> str:
         """n: ends sentences by other marks too; t: always with a stop, never at an end of a line; v: with a stop, also there; r: too rare."""
-        inside, last, other = (int(x) for x in self.counts[:3, _place(key) % PLACES])
+        inside, last, other = (int(x) for x in self.counts[:3, _place(key) % self.places])
         if len(word) == 1 and word.isalpha() and inside + last + other < ENOUGH:
             return "t"
         if other >= max(2, 0.03 * (inside + last)):
@@ -228,11 +265,11 @@ class Counts:
 
     def starts(self, word: str) -> str:
         """How often a word begins a sentence: 0 never or rare, 1 sometimes, 2 often."""
-        begun, all_ = (int(x) for x in self.counts[3:, _place(word) % PLACES])
+        begun, all_ = (int(x) for x in self.counts[3:, _place(word) % self.places])
         return "0" if begun < 2 or not all_ else "2" if begun > 0.15 * all_ else "1" if begun > 0.01 * all_ else "0"
 
 
-def features(c: Candidate, known: Counts) -> tuple[list[int], str]:
+def features(c: Candidate, known: Counts, size: int) -> tuple[list[int], str]:
     """(places of the features, group of the word before)."""
     group, begins = known.group(c.key, c.word), known.starts(c.next)
     kind = c.kind + ("" if c.space else "0")
@@ -248,7 +285,7 @@ def features(c: Candidate, known: Counts) -> tuple[list[int], str]:
         out += [f"q{c.colon}", f"q{c.colon}{begins}"]
     if not c.space:
         out += [f"o{kind}{group}{begins}", f"o{kind}{c.follow}{begins}"]
-    return [_place(f) % WEIGHTS for f in out], group
+    return [_place(f) % size for f in out], group
 
 
 def label(c: Candidate, group: str, begins: str, lower: bool) -> int | None:
@@ -278,76 +315,83 @@ def lower_style(text: str, found: list[list[Candidate]], spans: list[tuple[int,
     return any(text[a:b].lstrip()[:1].islower() for a, b in spans) or any(c.kind in "XE" and c.follow == "l" for cs in found for c in cs)
 
 
-def _labelled(frames: Iterator[pd.DataFrame], counts: np.ndarray) -> Iterator[pd.DataFrame]:
+def _candidate(entry: dict) -> Candidate:
+    c = Candidate()
+    c.kind, c.space, c.follow, c.script, c.colon, c.key, c.word, c.next = (entry[f] for f in ("kind", "space", "follow", "script", "colon", "key", "word", "next"))
+    return c
+
+
+def _labelled(frames: Iterator[pd.DataFrame], counts: np.ndarray, size: int) -> Iterator[pd.DataFrame]:
     known = Counts(counts)
     for frame in frames:
         out = []
-        for text in frame.text:
-            norm, _ = normal(text)
-            spans = lines(norm)
-            found = [find(norm[a:b]) for a, b in spans]
-            lower = lower_style(norm, found, spans)
-            for c in (c for cs in found for c in cs):
-                places, group = features(c, known)
+        for lower, found in zip(frame.lower, frame.found, strict=True):
+            for c in (_candidate(e) for e in found if e["kind"]):
+                places, group = features(c, known, size)
                 if (y := label(c, group, known.starts(c.next), lower)) is not None:
                     out.append((places, y))
         yield pd.DataFrame(out, columns=["places", "y"])
 
 
-def _ends(norm: str, at: list[int], text: str, known: Counts, weights: np.ndarray) -> list[int]:
-    """end_pos of every sentence."""
-    out = []
-    for a, b in lines(norm):
-        line = norm[a:b]
-        cuts = []
-        for c in find(line):
-            places, _ = features(c, known)
-            if weights[places].sum() > 0:
-                cuts.append(c.end)
-        start = 0
-        for cut in [*cuts, len(line)]:
-            piece = line[start:cut]
-            last = cut == len(line)
-            # a piece needs a letter or digit of its own, and something must be left after it
-            if not last and not (_SOLID.search(piece) and _SOLID.search(line[cut:])):
+class Judge:
+    """Decides about candidates; what was decided once is remembered."""
+
+    def __init__(self, counts: np.ndarray, weights: np.ndarray, most: int = 300_000):
+        self.known, self.weights, self.most = Counts(counts), weights, most
+        self.cache: dict[tuple, bool] = {}
+
+    def boundary(self, entry: dict) -> bool:
+        what = tuple(entry[f] for f in ("kind", "space", "follow", "script", "colon", "key", "word", "next"))
+        if what not in self.cache:
+            if len(self.cache) >= self.most:
+                self.cache.clear()
+            self.cache[what] = bool(self.weights[features(_candidate(entry), self.known, len(self.weights))[0]].sum() > 0)
+        return self.cache[what]
+
+    def ends(self, found: list[dict]) -> list[int]:
+        """end_pos of every sentence of a text."""
+        out = []
+        left = [False] * len(found)  # whether letters or digits come later in the line
+        for i in range(len(found) - 2, -1, -1):
+            left[i] = found[i]["line"] == found[i + 1]["line"] and (left[i + 1] or found[i + 1]["solid"])
+        solid = seen = False
+        for e, more in zip(found, left, strict=True):
+            solid, seen = solid or e["solid"], seen or e["seen"]
+            if not e["kind"]:
+                if seen:
+                    out.append(e["end"])
+            elif solid and more and self.boundary(e):  # a piece needs a letter or digit of its own, and one must be left after it
+                out.append(e["end"])
+            else:
                 continue
-            if _UNSEEN.sub("", piece):
-                i = a + cut
-                while i > a + start and _UNSEEN.match(norm[i - 1]):
-                    i -= 1
-                end = at[i]
-                while end > at[i - 1] + 1 and _UNSEEN.match(text[end - 1]):
-                    end -= 1
-                out.append(end)
-            start = cut
-    return out
+            solid = seen = False
+        return out
 
 
-def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, places: int = PLACES, weights: int = WEIGHTS) -> DataFrame:
     """key, end_pos of every sentence: code points of the stored text up to its last visible character.
 
-    To the driver go the counts (5 * PLACES at most) and the labelled candidates of the sample.
+    Every text is read once; its candidates are stored. To the driver go the counts (5 * places at most) and the labelled
+    candidates of about sample documents, those with the lowest hashes of their keys.
     """
     spark = documents.sparkSession
     rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != "")))
-    summed = rows.select("text").mapInPandas(_count, "kind int, place int, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((5, PLACES), np.int64)
+    kind = rows.schema["key"].dataType.simpleString()
+    scanned = stored(rows.mapInPandas(lambda frames: _scan(frames, places), f"key {kind}, lower boolean, found {FOUND}, kind int, place int, count int"), "candidates")
+    summed = scanned.filter("count IS NOT NULL").groupBy("kind", "place").agg(F.sum("count").alias("n")).toPandas()
+    counts = np.zeros((5, places), np.int64)
     counts[summed.kind, summed.place] = summed.n
     shared = spark.sparkContext.broadcast(counts)
-    chosen = stored(rows.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(sample).select("text"), "sample")
-    taught = chosen.repartition(spark.sparkContext.defaultParallelism).mapInPandas(lambda frames: _labelled(frames, shared.value), "places array<int>, y int").toPandas()
-    weights = spark.sparkContext.broadcast(train(list(taught.places), taught.y.to_numpy(float), WEIGHTS))
-    kind = rows.schema["key"].dataType.simpleString()
+    texts = scanned.filter("found IS NOT NULL").select("key", "lower", "found")
+    part = min(1.0, sample / max(1, texts.count()))
+    chosen = texts.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) <= int((1 << 30) * part))
+    taught = chosen.mapInPandas(lambda frames: _labelled(frames, shared.value, weights), "places array<int>, y int").toPandas()
+    model = spark.sparkContext.broadcast(train(list(taught.places), taught.y.to_numpy(float), weights))
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Counts(shared.value)
+        judge = Judge(shared.value, model.value)
         for frame in frames:
-            keys, ends = [], []
-            for k, t in zip(frame.key, frame.text, strict=True):
-                norm, at = normal(t)
-                found = _ends(norm, at, t, known, weights.value)
-                keys += [k] * len(found)
-                ends += found
-            yield pd.DataFrame({"key": keys, "end_pos": ends})
-
-    return rows.mapInPandas(decide, f"key {kind}, end_pos bigint").withColumnRenamed("key", key)
+            ends = [judge.ends(found) for found in frame.found]
+            yield pd.DataFrame({"key": frame.key.repeat([len(e) for e in ends]), "end_pos": [x for e in ends for x in e]})
+
+    return texts.mapInPandas(decide, f"key {kind}, end_pos bigint").withColumnRenamed("key", key)
