@@ -240,10 +240,12 @@ def _scan(frames: Iterator[pd.DataFrame], places: int) -> Iterator[pd.DataFrame]
             out.append((k, lower_style(norm, found, spans), _entries(norm, at, text, spans, found)))
         for kind, spots in enumerate(hits):
             counts[kind] += np.bincount(np.array(spots, np.int64) % places, minlength=places).astype(np.int32)
-        yield pd.DataFrame(out, columns=["key", "lower", "found"]).assign(kind=None, place=None, count=None)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "lower", "found"]).assign(kind=None, place=None, count=None)
     kind, place = counts.nonzero()
     none = [None] * len(kind)
-    yield pd.DataFrame({"key": none, "lower": none, "found": none, "kind": kind, "place": place, "count": counts[kind, place]})
+    if none:
+        yield pd.DataFrame({"key": none, "lower": none, "found": none, "kind": kind, "place": place, "count": counts[kind, place]})
 
 
 class Counts:
