@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,13 +30,23 @@ def nfc(text: Column) -> Column:
     return compose(text)
 
 
+def held(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function of a value that it may name several times; the value is computed once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     """Entities, links, addresses, phone numbers and odd characters to spaces, then single spaces.
 
     A pattern runs only over texts with a character that it needs.
     """
-    for sign, pattern in (("&", ENTITY), ("http", URL), ("www.", URL), ("@", EMAIL)):
-        text = F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, " ")).otherwise(text)
+    for signs, pattern in ((("&",), ENTITY), (("http", "www."), URL), (("@",), EMAIL)):
+
+        def without(t: Column) -> Column:  # built at once, so the names of this round hold
+            needed = reduce(lambda x, y: x | y, [F.contains(t, F.lit(s)) for s in signs])  # noqa: B023
+            return F.when(needed, F.regexp_replace(t, pattern, " ")).otherwise(t)  # noqa: B023
+
+        text = held(text, without)
     for pattern in (PHONE, OTHER):
         text = F.regexp_replace(text, pattern, " ")
     return F.trim(F.regexp_replace(text, f"{WHITE}+", " "))
@@ -82,3 +94,21 @@ def shuffle_middle(sentence: Column, seed: str, key: Column) -> Column:
     marked = F.transform(middle, lambda w, i: F.struct(F.md5(F.concat_ws("|", F.lit(seed), key, i.cast("string"), w)).alias("h"), w.alias("w")))
     mixed = F.transform(F.array_sort(marked), lambda s: s["w"])
     return F.when(F.size(words) > 4, F.array_join(F.concat(F.slice(words, 1, 1), mixed, F.slice(words, -1, 1)), " ")).otherwise(sentence)
+
+
+def longer_than(text: Column, size: int = 50) -> Column:
+    """Strictly more characters than size; false for null."""
+    return F.coalesce(F.length(text) > size, F.lit(False))
+
+
+def replace_words(text: Column, choices: dict[str, list[str]], seed: str, key: Column) -> Column:
+    """One pass for each word: its first place becomes one of its choices. A later pass sees what the earlier ones made."""
+    for word, others in choices.items():
+        text = held(text, lambda t: replace_first(t, word, others, f"{seed}{word}", key))  # noqa: B023 - built at once
+    return text
+
+
+def shuffle_sentences(text: Column, seed: str, key: Column) -> Column:
+    """shuffle_middle of every sentence (parts between '. ')."""
+    parts = F.transform(F.split(text, r"\. ", -1), lambda s, i: shuffle_middle(s, seed, F.concat(key, F.lit("."), i.cast("string"))))
+    return F.array_join(parts, ". ")

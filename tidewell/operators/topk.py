@@ -11,6 +11,16 @@ def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def ordered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """The whole result in order, for tables of one row a bucket."""
+    return rows.orderBy(*order)
+
+
+def limited(rows: DataFrame, n: int) -> DataFrame:
+    """Any n rows."""
+    return rows.limit(n)
+
+
 def latest_by(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key (WindowGroupLimit keeps n of each before the shuffle)."""
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import replies, text
-from ..operators import curation, metrics, rollups, topk
+from ..operators import curation, feeds, metrics, rollups, topk
 from ..session import spread
 from ..tables import table
 
@@ -29,15 +30,19 @@ def query(sql: str | None = None):
     return add
 
 
+def utc(*parts: int) -> datetime.datetime:
+    return datetime.datetime(*parts, tzinfo=datetime.UTC)
+
+
 def dim(spark: SparkSession, d: str, version: str = "1.0") -> DataFrame:
     """The label names of one taxonomy version: a fixed table of a few rows."""
     return table(spark, d, "stress_taxonomy").filter(F.col("taxonomy_version") == version).select("aspect_id", "aspect_name")
 
 
-def classified(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled posts with their board, time buckets, labels in range and the flag of any label."""
+def classified(spark: SparkSession, d: str, posts: DataFrame | None = None) -> DataFrame:
+    """Labelled posts (or those given of them) with their board, time buckets, labels in range and the flag of any label."""
     boards = table(spark, d, "post_messages", "post_id", "source").filter(F.col("post_id").isNotNull()).groupBy("post_id").agg(F.min("source").alias("board"))
-    rows = table(spark, d, "labeled_posts").join(boards, "post_id", "left")
+    rows = (table(spark, d, "labeled_posts") if posts is None else posts).join(boards, "post_id", "left")
     valid = L.in_range("aspects", N)
     return rows.select(
         "post_id", "text", L.listed("aspects").alias("aspects"), valid.alias("valid"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "model", F.coalesce("board", F.lit("unknown")).alias("board"),
@@ -124,14 +129,31 @@ def top_groups_volume(spark, d):
 @query(f"""{CLASSIFIED}, g AS (SELECT board FROM classified GROUP BY board ORDER BY count(*) DESC, board LIMIT 1)
 SELECT board, day_bucket, {TOTALS} FROM classified WHERE board IN (SELECT board FROM g) AND day_bucket BETWEEN '2026-02-01' AND '2026-02-28' GROUP BY board, day_bucket""")
 def group_trend(spark, d):
-    rows = classified(spark, d)
-    largest = topk.top(rows.groupBy("board").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("board")], 1).select("board")
-    return rollups.totals(rows.filter(F.col("day_bucket").between("2026-02-01", "2026-02-28")).join(F.broadcast(largest), "board", "left_semi"), ["board", "day_bucket"])
+    largest = topk.top(classified(spark, d).groupBy("board").agg(F.count("*").alias("n")), [F.desc("n"), F.asc("board")], 1).select("board")
+    month = feeds.between(table(spark, d, "labeled_posts"), "labeled_at", utc(2026, 2, 1), utc(2026, 3, 1))
+    return rollups.totals(classified(spark, d, month).join(F.broadcast(largest), "board", "left_semi"), ["board", "day_bucket"])
 
 
 @query(f"{CLASSIFIED} SELECT hour_bucket, {TOTALS} FROM classified WHERE hour_bucket >= '2026-03-01-00' AND hour_bucket <= '2026-03-07-23' GROUP BY hour_bucket")
 def hour_range_trend(spark, d):
-    return rollups.totals(classified(spark, d).filter(F.col("hour_bucket").between("2026-03-01-00", "2026-03-07-23")), ["hour_bucket"])
+    week = feeds.between(table(spark, d, "labeled_posts"), "labeled_at", utc(2026, 3, 1), utc(2026, 3, 8))
+    return topk.ordered(rollups.totals(classified(spark, d, week), ["hour_bucket"]), [F.asc("hour_bucket")])
+
+
+@query(f"{CLASSIFIED}, last AS (SELECT DISTINCT hour_bucket FROM classified ORDER BY hour_bucket DESC LIMIT 24) SELECT board, hour_bucket, {TOTALS} FROM classified WHERE hour_bucket IN (SELECT hour_bucket FROM last) GROUP BY board, hour_bucket")
+def hour_list_trend(spark, d):
+    """A list of hour partitions (here the last 24 that hold rows); the list's bounds reach the scan."""
+    posts = table(spark, d, "labeled_posts")
+    hours = topk.top(posts.select(F.date_format("labeled_at", HOUR).alias("h")).distinct().filter("h IS NOT NULL"), [F.desc("h")], 24).collect()
+    return rollups.totals(hours_in(spark, d, [r.h for r in hours]), ["board", "hour_bucket"])
+
+
+def hours_in(spark: SparkSession, d: str, hours: list[str]) -> DataFrame:
+    """Classified posts of the listed hour buckets."""
+    times = [datetime.datetime.strptime(h, "%Y-%m-%d-%H").replace(tzinfo=datetime.UTC) for h in hours]
+    posts = table(spark, d, "labeled_posts")
+    posts = feeds.between(posts, "labeled_at", min(times), max(times) + datetime.timedelta(hours=1)) if times else posts.limit(0)
+    return classified(spark, d, posts).filter(F.col("hour_bucket").isin(hours))
 
 
 @query("SELECT strftime(h, '%Y-%m-%d-%H') AS hour_bucket FROM (SELECT unnest(generate_series(date_trunc('hour', m) - INTERVAL 23 HOURS, date_trunc('hour', m), INTERVAL 1 HOUR)) AS h FROM (SELECT max(labeled_at AT TIME ZONE 'UTC') AS m FROM labeled_posts))")
@@ -164,8 +186,8 @@ def overview_metrics(spark, d):
     )
 
 
-@query(r"""SELECT source, count(at) AS timed, round(avg(epoch_us(kafka_ts) - epoch_us(at)) / 1e6, 3) AS avg_seconds FROM (
-SELECT source, kafka_ts, TRY_CAST(CASE WHEN regexp_full_match(trim(crawled_at), '\d{4}-\d{2}-\d{2}[T ].*') THEN trim(crawled_at) END AS TIMESTAMPTZ) AS at FROM post_messages) GROUP BY source""".replace(" AS at ", " AS moment ").replace("count(at)", "count(moment)").replace("epoch_us(at)", "epoch_us(moment)"))
+@query(r"""SELECT source, count(moment) AS timed, round(avg(epoch_us(kafka_ts) - epoch_us(moment)) / 1e6, 3) AS avg_seconds FROM (
+SELECT source, kafka_ts, TRY_CAST(CASE WHEN regexp_full_match(trim(crawled_at), '\d{4}-\d{2}-\d{2}[T ].*') THEN trim(crawled_at) END AS TIMESTAMPTZ) AS moment FROM post_messages) GROUP BY source""")
 def latency_avg(spark, d):
     from ..operators.delivery import instant
 
@@ -182,12 +204,30 @@ def feed(rows: DataFrame) -> DataFrame:
     return rows.select("post_id", F.date_format("labeled_at", STAMP).alias("labeled"), "model", "confidence", L.joined(F.col("valid")).alias("labels"))
 
 
+def newest(rows: DataFrame, n: int) -> DataFrame:
+    return feed(topk.top(rows, [F.desc("labeled_at"), F.asc("post_id"), F.asc("model"), F.asc("confidence")], n))
+
+
 @query(f"{CLASSIFIED} SELECT {FEED} FROM classified WHERE hour_bucket >= (SELECT strftime(date_trunc('hour', max(labeled_at)) - INTERVAL 23 HOURS, '%Y-%m-%d-%H') FROM classified) ORDER BY labeled_at DESC, post_id, model, confidence LIMIT 50")
 def recent_posts(spark, d):
-    rows = classified(spark, d)
-    first = rows.agg(F.date_format(F.date_trunc("hour", F.max("labeled_at")) - F.expr("INTERVAL 23 HOURS"), HOUR).alias("first"))
-    recent = rows.join(F.broadcast(first), F.col("hour_bucket") >= F.col("first"))  # one row
-    return feed(topk.top(recent, [F.desc("labeled_at"), F.asc("post_id"), F.asc("model"), F.asc("confidence")], 50))
+    posts = table(spark, d, "labeled_posts")
+    last = feeds.latest(posts, "labeled_at")
+    first = None if last is None else last.astimezone(datetime.UTC).replace(minute=0, second=0, microsecond=0) - datetime.timedelta(hours=23)
+    return newest(classified(spark, d, feeds.between(posts.filter("labeled_at IS NOT NULL"), "labeled_at", first)), 50)
+
+
+def _span(name: str, span: str):
+    interval = feeds.SPANS[span]
+
+    @query(f"{CLASSIFIED} SELECT {FEED} FROM classified WHERE labeled_at >= (SELECT max(labeled_at) FROM classified) - INTERVAL {interval}")
+    def run(spark, d):
+        return feed(classified(spark, d, feeds.recent(table(spark, d, "labeled_posts"), "labeled_at", span)))
+
+    QUERIES[name], SQL[name] = QUERIES.pop("run"), SQL.pop("run")
+
+
+for _s in feeds.SPANS:
+    _span(f"feed_last_{_s}", _s)
 
 
 @query(f"{CLASSIFIED} SELECT {FEED} FROM classified WHERE stressed ORDER BY confidence DESC, post_id, model, labeled_at LIMIT 50")
@@ -197,8 +237,23 @@ def recent_high_score(spark, d):
 
 @query(f"{CLASSIFIED} SELECT {FEED} FROM classified WHERE stressed AND list_has_any(aspects, [0, 3]) AND model = 'sageling-14b'")
 def filtered_feed(spark, d):
-    rows = classified(spark, d).filter("stressed").filter(F.arrays_overlap("aspects", F.array(F.lit(0), F.lit(3)))).filter(F.col("model") == "sageling-14b")
-    return feed(rows)
+    return feed(feeds.selected(classified(spark, d).filter("stressed"), equal={"model": "sageling-14b", "board": feeds.ALL}, any_of={"aspects": [0, 3]}))
+
+
+@query(f"{CLASSIFIED} SELECT {FEED} FROM classified WHERE model IN ('sageling-14b', 'sageling-7b') AND list_has_any(aspects, [1, 2, 5])")
+def multi_select_feed(spark, d):
+    return feed(feeds.selected(classified(spark, d), equal={"board": feeds.ALL}, among={"model": ["sageling-14b", "sageling-7b"]}, any_of={"aspects": [1, 2, 5]}))
+
+
+@query(f"{PROFILED} SELECT annotation_id, team, cohort FROM profiled WHERE cohort = '2024' AND stressed")
+def person_feed(spark, d):
+    """Votes filtered by fields of their person; All asks for nothing."""
+    return feeds.selected(profiled(spark, d).filter("stressed"), equal={"team": feeds.ALL, "cohort": "2024"}).select("annotation_id", "team", "cohort")
+
+
+@query("SELECT DISTINCT hour_bucket, CAST(epoch_us(strptime(hour_bucket, '%Y-%m-%d-%H')) AS BIGINT) AS begins FROM (SELECT strftime(labeled_at AT TIME ZONE 'UTC', '%Y-%m-%d-%H') AS hour_bucket FROM labeled_posts)")
+def bucket_times(spark, d):
+    return distinct_buckets(spark, d).select("hour_bucket", F.unix_micros(feeds.bucket_time(F.col("hour_bucket"))).alias("begins"))
 
 
 @query(f"""{CLASSIFIED}, names AS (SELECT list(aspect_name ORDER BY aspect_id) AS names FROM stress_taxonomy WHERE taxonomy_version = '1.0'), top AS (SELECT * FROM classified ORDER BY labeled_at DESC, post_id, model, confidence LIMIT 30)
@@ -393,11 +448,13 @@ def json_extract(spark, d):
     return rows.select("event_id", fields["k"].alias("k"), L.clamp(F.col("value") / 100).alias("clamped"))
 
 
-@query("SELECT event_id, '{\"inner\": ' || props || '}' AS widest, 'unknown' AS kind FROM events")
+@query("""SELECT event_id, '{"kind": "' || event_type || '", "inner": ' || props || '}' AS widest, CASE WHEN event_type IN ('click', 'view', 'error') THEN event_type ELSE 'unknown' END AS kind FROM events""")
 def json_widest(spark, d):
-    rows = table(spark, d, "events", "event_id", "props")
-    reply = F.concat(F.lit('Sure: {"inner": '), F.col("props"), F.lit("} done"))
-    return rows.select("event_id", replies.widest_object(reply).alias("widest"), replies.one_of(F.lit("x"), ["student"]).alias("kind"))
+    """The whole object of a reply, and one of its fields if it is among the allowed values."""
+    rows = table(spark, d, "events", "event_id", "event_type", "props")
+    reply = F.concat(F.lit('Sure: {"kind": "'), F.col("event_type"), F.lit('", "inner": '), F.col("props"), F.lit("} done"))
+    widest = replies.widest_object(reply)
+    return rows.select("event_id", widest.alias("widest"), replies.one_of(replies.parsed(widest, "kind string")["kind"], ["click", "view", "error"]).alias("kind"))
 
 
 @query("""WITH p AS (SELECT row_id, text, CAST('0x' || substring(md5('syn|' || CAST(row_id AS VARCHAR)), 1, 6) AS BIGINT) % 2 + 1 AS pick, string_split(text, ' ') AS words FROM training_rows WHERE text IS NOT NULL)
@@ -414,6 +471,33 @@ def shuffle_words(spark, d):
     return rows.select("row_id", text.shuffle_middle(F.col("text"), "mid", F.col("row_id").cast("string")).alias("mixed"))
 
 
+SYNONYMS = {"mình": ["tôi", "em"], "mệt": ["oải", "đuối"], "nhà": ["tổ ấm"]}
+
+
+def _sql_synonyms() -> str:
+    text, steps = "text", []
+    for i, (word, others) in enumerate(SYNONYMS.items()):
+        choice = f"[{', '.join(repr(o) for o in others)}][CAST('0x' || substring(md5('syn{word}|' || CAST(row_id AS VARCHAR)), 1, 6) AS BIGINT) % {len(others)} + 1]"
+        steps.append(f"s{i} AS (SELECT row_id, CASE WHEN list_position(string_split({text}, ' '), '{word}') > 0 THEN array_to_string(list_transform(string_split({text}, ' '), lambda w, i: CASE WHEN i = list_position(string_split({text}, ' '), '{word}') THEN {choice} ELSE w END), ' ') ELSE {text} END AS t{i} FROM {'training_rows WHERE length(text) > 50' if not i else f's{i - 1}'})")
+        text = f"t{i}"
+    return f"WITH {', '.join(steps)} SELECT row_id, {text} AS changed FROM s{len(SYNONYMS) - 1}"
+
+
+@query(_sql_synonyms())
+def synonym_passes(spark, d):
+    """Several words in turn, in texts of strictly more than 50 characters."""
+    rows = table(spark, d, "training_rows", "row_id", "text").filter(text.longer_than(F.col("text")))
+    return rows.select("row_id", text.replace_words(F.col("text"), SYNONYMS, "syn", F.col("row_id").cast("string")).alias("changed"))
+
+
+@query("""WITH pieces AS (SELECT row_id, n, string_split(part, ' ') AS w, part FROM (SELECT row_id, unnest(string_split(text, '. ')) AS part, unnest(range(0, len(string_split(text, '. ')))) AS n FROM training_rows WHERE text IS NOT NULL)),
+m AS (SELECT row_id, n, CASE WHEN len(w) > 4 THEN array_to_string([w[1]] || list_transform(list_sort(list_transform(w[2:len(w) - 1], lambda x, i: {'h': md5('mid|' || CAST(row_id AS VARCHAR) || '.' || CAST(n AS VARCHAR) || '|' || CAST(i - 1 AS VARCHAR) || '|' || x), 'w': x})), lambda s: s.w) || [w[len(w)]], ' ') ELSE part END AS mixed FROM pieces)
+SELECT row_id, string_agg(mixed, '. ' ORDER BY n) AS mixed FROM m GROUP BY row_id""")
+def shuffle_sentences(spark, d):
+    rows = table(spark, d, "training_rows", "row_id", "text").filter(F.col("text").isNotNull())
+    return rows.select("row_id", text.shuffle_sentences(F.col("text"), "mid", F.col("row_id").cast("string")).alias("mixed"))
+
+
 # ---- sets and joins
 
 
@@ -494,6 +578,12 @@ def split_profile(spark, d):
     return table(spark, d, "training_rows", "split_name", "source").groupBy("split_name", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("cnt"))
 
 
+@query("SELECT split_name, i AS aspect_id, CAST(sum(labels[i + 1]) AS BIGINT) AS cnt, count(*) AS rows FROM training_rows CROSS JOIN (SELECT CAST(unnest(range(0, 9)) AS INT) AS i) WHERE len(labels) = 9 GROUP BY ALL")
+def split_profile_aspects(spark, d):
+    rows = table(spark, d, "training_rows", "split_name", "labels").filter(F.size("labels") == N)
+    return rows.select("split_name", F.posexplode("labels").alias("aspect_id", "one")).groupBy("split_name", "aspect_id").agg(F.sum("one").alias("cnt"), F.count("*").alias("rows"))
+
+
 @query("SELECT row_id FROM training_rows ORDER BY md5('sample|' || CAST(row_id AS VARCHAR)), row_id LIMIT (SELECT CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) FROM training_rows)")
 def exact_sample(spark, d):
     return curation.exact_sample(table(spark, d, "training_rows", "row_id"), "row_id", 0.2, "sample").select("row_id")
@@ -636,7 +726,22 @@ def threshold_sweep(spark, d):
     return metrics.scores(metrics.confusion(cells, ["aspect_id", "threshold"])).select("aspect_id", "threshold", "precision", "recall", "f1")
 
 
-@query()
+@query(f"{SCORED}, g AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7]::DOUBLE[]) AS threshold), x AS (SELECT CAST(i AS INT) AS aspect_id, threshold, CAST(label = i AS INT) AS y, CAST(p[i + 1] > threshold AS INT) AS p FROM probs CROSS JOIN g CROSS JOIN (SELECT unnest(range(0, 9)) AS i)), c AS (SELECT aspect_id, threshold, {CONFUSION} FROM x GROUP BY ALL), f AS (SELECT aspect_id, threshold, {PRF} FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY aspect_id ORDER BY f1 DESC, threshold) AS rn FROM f) SELECT aspect_id, threshold, f1 FROM r WHERE rn = 1")
+def best_threshold(spark, d):
+    """The threshold of the best f1 for each label; of equal ones the lowest."""
+    best = F.max(F.struct("f1", (-F.col("threshold")).alias("low"))).alias("b")
+    return threshold_sweep(spark, d).groupBy("aspect_id").agg(best).select("aspect_id", (-F.col("b.low")).alias("threshold"), F.col("b.f1").alias("f1"))
+
+
+BEST_EPOCH = f"""{CLASSIFIED}, d AS (SELECT day_bucket, {TOTALS} FROM classified GROUP BY day_bucket)"""
+BEST_EPOCH = BEST_EPOCH.replace("WITH boards", "WITH RECURSIVE boards", 1) + """, s AS (SELECT day_bucket AS o, pct_stress AS m, row_number() OVER (ORDER BY day_bucket NULLS FIRST) AS n FROM d),
+f AS (SELECT 0::BIGINT AS n, '-infinity'::DOUBLE AS best, NULL::VARCHAR AS at_step, 0 AS missed UNION ALL
+  SELECT s.n, CASE WHEN s.m > f.best + 0.5 AND f.missed < 5 THEN s.m ELSE f.best END, CASE WHEN s.m > f.best + 0.5 AND f.missed < 5 THEN s.o ELSE f.at_step END,
+    CASE WHEN f.missed >= 5 THEN f.missed WHEN s.m > f.best + 0.5 THEN 0 ELSE f.missed + 1 END FROM f JOIN s ON s.n = f.n + 1)
+SELECT at_step AS best_step, best AS best_metric FROM f ORDER BY n DESC LIMIT 1"""
+
+
+@query(BEST_EPOCH)
 def best_epoch(spark, d):
     """Early stopping over the days of labelled posts, with the share of flagged posts as the metric."""
     days = rollups.totals(classified(spark, d), ["day_bucket"])
