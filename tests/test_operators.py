@@ -1,9 +1,11 @@
+import datetime
+import hashlib
 import itertools
 import random
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import curation, metrics, rollups, similar, topk
+from tidewell.operators import curation, feeds, labeling, metrics, rollups, similar, topk
 from tidewell.operators.scoring import hashed_scorer, predict
 
 
@@ -96,3 +98,41 @@ def test_scorer(spark):
     got = {r.id: r.p for r in rows.select("id", predict(F.col("t"), hashed_scorer, "test-1").alias("p")).collect()}
     assert got[2].aspects == [] and got[3].confidence == 0.0 and len(got[2].aspect_probs) == 9
     assert all((p > 0.5) == (i in got[1].aspects) for i, p in enumerate(got[1].aspect_probs))
+
+
+def test_failures_of_scorers_and_labelers_are_told(spark):
+    def broken():
+        def score(texts):
+            raise ValueError("no model")
+
+        return score
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    got = {r.id: r.p for r in rows.select("id", predict(F.col("t"), broken, "broken-1").alias("p")).collect()}
+    assert got[1].failed == "ValueError: no model" and got[2].failed is None and not got[1].stressed
+    assert [r.a for r in rows.select(labeling.reply(F.col("t"), broken, "broken-2").alias("a")).collect()] == [None, None]
+    ids, confidence = labeling.labels_of(F.col("t"))
+    odd = spark.createDataFrame([('<think>{}</think> {"aspects": [3, 3, 12, 1], "confidence": 7}',), ("none",), (None,)], "t string")
+    assert [(list(r.i), r.c) for r in odd.select(ids.alias("i"), confidence.alias("c")).collect()] == [([1, 3], 1.0), ([], None), ([], None)]
+
+
+def test_exact_sample_takes_the_first_of_the_order(spark):
+    rows = spark.createDataFrame([(i % 700, i) for i in range(1000)], "k int, v int")
+    got = [r.k for r in curation.exact_sample(rows, "k", 0.25, "x").collect()]
+    order = sorted((hashlib.md5(f"x|{i % 700}".encode()).hexdigest(), i % 700) for i in range(1000))
+    assert sorted(got) == sorted(k for _, k in order[:250])
+    assert curation.exact_sample(rows.limit(0), "k", 0.25, "x").isEmpty() and curation.exact_sample(rows, "k", 1.0, "x").count() == 1000
+    drawn = curation.resampled(rows.withColumn("s", F.lit(1)), "s", "k", spark.createDataFrame([(1, 25)], "s int, n int"), "y", chunk=4)
+    assert sorted(r.slot for r in drawn.collect()) == list(range(1, 26))
+
+
+def test_feeds(spark):
+    at = datetime.datetime(2026, 1, 8, 12, tzinfo=datetime.UTC)
+    rows = spark.createDataFrame([(h, "m" if h % 2 else None, [h % 3], at - datetime.timedelta(hours=h)) for h in (0, 1, 5, 30, 200)], "h int, m string, a array<int>, at timestamp")
+    hours = lambda df: sorted(r.h for r in df.collect())
+    assert hours(feeds.recent(rows, "at", "1h")) == [0, 1] and hours(feeds.recent(rows, "at", "7d")) == [0, 1, 5, 30]
+    assert hours(feeds.recent(rows, "at", "24h", at - datetime.timedelta(hours=4))) == [5]
+    assert hours(feeds.selected(rows, {"m": "All"}, {"h": []}, {"a": None})) == [0, 1, 5, 30, 200]
+    assert hours(feeds.selected(rows, {"m": "m"}, {"h": [1, 30]}, {"a": [1, 7]})) == [1]
+    assert feeds.recent(rows.limit(0), "at", "1h").isEmpty()
+    assert spark.range(1).select(feeds.bucket_time(F.lit("no hour")).alias("t")).first().t is None

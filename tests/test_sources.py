@@ -61,3 +61,27 @@ def test_late_rows_and_repeats_are_dropped(spark):
     pipeline.run_once(pipeline.windowed(stream, "at", "source"), f"{work}/out", f"{work}/check")
     got = {r.hour_bucket: r.cnt for r in spark.read.parquet(f"{work}/out").collect()}
     assert got["2026-01-01-10"] == 1 and got["2026-01-01-13"] == 2
+
+
+def test_a_running_stream_is_stopped_between_batches(spark, tmp_path):
+    source, work = tmp_path / "in", folder(spark, "running")
+    source.mkdir()
+    (source / "a.txt").write_text("x\ny")
+    query = pipeline.started(pipeline.messages_from_files(spark, str(source)), f"{work}/out", f"{work}/check", every="1 second")
+    query.processAllAvailable()
+    pipeline.stopped(query)
+    assert not query.isActive and spark.read.parquet(f"{work}/out").count() == 2
+    (source / "b.txt").write_text("z")
+    progress = pipeline.Progress()
+    pipeline.run_once(pipeline.messages_from_files(spark, str(source)).withWatermark("timestamp", "1 hour"), f"{work}/out", f"{work}/check", progress=progress)
+    assert spark.read.parquet(f"{work}/out").count() == 3
+    assert sum(b["rows"] for b in progress.seen) == 1 and {"offsets_behind", "event_lag_seconds"} <= set(progress.seen[0])
+
+
+def test_counts_and_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    lines = '{"a": 1}\nbroken\n{"a": 2}\n'
+    (tmp_path / "x.json").write_text(lines)
+    assert tuple(io.line_counts(spark, str(tmp_path), "a int").first()) == (3, 1)
+    assert io.file_digests(spark, str(tmp_path)).first()["md5"] == hashlib.md5(lines.encode()).hexdigest()

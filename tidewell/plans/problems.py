@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.delivery import DeliveryLedger, admit_deliveries
-from ..session import shared_folder
+from ..session import work
 from ..tables import table
 
 
 def _ledger(spark: SparkSession) -> DeliveryLedger:
-    return DeliveryLedger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    return DeliveryLedger(spark, work(spark, "ledger"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,9 +42,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def work(spark: SparkSession, name: str) -> str:
+    """A new folder inside the shared one; release() removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._tidewell_work = [*getattr(context, "_tidewell_work", []), path]
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the intermediate folders of this session; to be called when no result that reads them is needed any more."""
+    paths = getattr(spark.sparkContext, "_tidewell_work", [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark.sparkContext._tidewell_work = []
+    return len(paths)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = work(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -14,6 +14,17 @@ def read_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def line_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """lines, malformed: how many lines there are and how many of them read_lines drops."""
+    bad = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"]
+    return spark.read.text(path).filter(F.trim("value") != "").select(bad.alias("bad")).agg(F.count("*").alias("lines"), F.count("bad").alias("malformed"))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, md5 of each file of a path; a file is read as one value."""
+    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """Line JSON, UTF-8, without escapes of letters."""
     rows.write.mode("overwrite").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ LATENESS = "1 hour"
 def enriched(posts: DataFrame, prediction: Column, version: str) -> DataFrame:
     """Posts with their hour bucket, parsed time, prediction and audit columns."""
     rows = usable(posts).withColumns({"hour_bucket": F.date_format(F.current_timestamp(), "yyyy-MM-dd-HH"), "original_timestamp": F.coalesce(F.try_to_timestamp("timestamp"), F.try_to_timestamp("crawled_at"))})
-    rows = rows.withColumn("prediction", prediction).select("*", "prediction.*").drop("prediction", "timestamp")
+    rows = rows.withColumn("prediction", prediction).select("*", "prediction.*").drop("prediction", "timestamp", "failed")
     return rows.withColumns({"classified_at": F.current_timestamp(), "model_version": F.lit(version)})
 
 
@@ -54,11 +56,41 @@ def unique(posts: DataFrame, at: str, key: str = "post_id", late: str = LATENESS
     return posts.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", writer=None) -> StreamingQuery:
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", writer=None, progress: Progress | None = None) -> StreamingQuery:
     """Everything there is now, in as many batches as the source's limits make, then stop."""
-    start = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = (start.foreachBatch(writer) if writer else start.format("parquet").option("path", path)).start()
+    return _run(stream, path, checkpoint, mode, writer, progress, {"availableNow": True})
+
+
+def started(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", writer=None, every: str = "10 seconds") -> StreamingQuery:
+    """A stream that runs on, with a batch at each interval."""
+    return _start(stream, path, checkpoint, mode, writer, {"processingTime": every})
+
+
+def stopped(query: StreamingQuery, seconds: float = 60.0) -> None:
+    """Ends a stream between two batches: a batch that runs is waited for, up to some seconds, then the query is stopped."""
+    end = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.1)
+    query.stop()
     query.awaitTermination()
+
+
+def _start(stream: DataFrame, path: str, checkpoint: str, mode: str, writer, trigger: dict) -> StreamingQuery:
+    start = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
+    return (start.foreachBatch(writer) if writer else start.format("parquet").option("path", path)).start()
+
+
+def _run(stream: DataFrame, path: str, checkpoint: str, mode: str, writer, progress: Progress | None, trigger: dict) -> StreamingQuery:
+    streams = stream.sparkSession.streams
+    if progress is not None:
+        streams.addListener(progress)
+    try:
+        query = _start(stream, path, checkpoint, mode, writer, trigger)
+        query.awaitTermination()
+    finally:
+        if progress is not None:
+            stream.sparkSession.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            streams.removeListener(progress)
     return query
 
 
@@ -75,7 +107,7 @@ def posts_from(messages: DataFrame) -> DataFrame:
 
 
 class Progress(StreamingQueryListener):
-    """Rows and lag of each batch."""
+    """Rows, speed and lag of each batch: offsets behind the source's last one (where it tells), and seconds from the watermark to the latest event."""
 
     def __init__(self):
         self.seen: list[dict] = []
@@ -85,7 +117,10 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.seen.append({"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "milliseconds": p.batchDuration})
+        behind = [float(m["maxOffsetsBehindLatest"]) for s in p.sources if "maxOffsetsBehindLatest" in (m := s.metrics or {})]
+        times = {k: datetime.datetime.fromisoformat(v) for k, v in (p.eventTime or {}).items() if k in ("max", "watermark")}
+        lag = (times["max"] - times["watermark"]).total_seconds() if len(times) == 2 else None
+        self.seen.append({"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "milliseconds": p.batchDuration, "offsets_behind": max(behind, default=None), "event_lag_seconds": lag})
 
     def onQueryIdle(self, event):
         pass
