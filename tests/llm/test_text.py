@@ -115,6 +115,28 @@ def test_toxic_texts_are_flagged(spark):
     assert (rates.documents, rates.flagged) == (len(texts), 23)
 
 
+def test_ambiguous_words_need_company(spark):
+    texts = CALM * 40 + ["The bitch had 2 puppies and the vet is happy."] * 6 + ["Das Ungeziefer im Keller ist weg."] * 6 + TOXIC * 6
+    flagged = {r.doc_id for r in toxicity.score(docs(spark, texts)).filter("flagged").collect()}
+    assert flagged == set(range(len(texts) - 30, len(texts)))
+
+
+def test_expectation_of_several_segments():
+    assert toxicity.joint([1e-4]) == pytest.approx(1e-4)
+    assert toxicity.joint([1e-4, 1e-4]) < 1e-5 and toxicity.joint([0.9, 0.9]) <= 1 and toxicity.joint([]) == 1.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([-2.0, -1.0, 0.5, 3.0]), max_size=6), min_size=1, max_size=5))
+def test_best_segments_of_a_batch(parts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([[1] * len(p) + [toxicity.END] for p in parts], pa.list_(pa.int64()))], names=["codes"])
+    words = toxicity.Words(batch, 1024)
+    got = words.best(np.array([x for p in parts for x in p]))
+    assert got == pytest.approx([max((sum(p[i:j]) for i in range(len(p)) for j in range(i + 1, len(p) + 1)), default=0) if max(p, default=0) > 0 else 0 for p in parts])
+
+
 def test_without_toxic_texts_nothing_is_flagged(spark):
     assert toxicity.score(docs(spark, CALM)).filter("flagged").isEmpty()
     assert toxicity.score(docs(spark, [])).isEmpty()
@@ -146,6 +168,18 @@ def test_types_found_and_replaced(spark):
     assert pii.spans(docs(spark, [])).isEmpty() and pii.redact(docs(spark, [None])).first().text is None
 
 
+def test_names_of_other_scripts_and_long_runs():
+    name = lambda t: {t[a:b] for kind, a, b, *_ in pii.candidates(t) if kind == "person_name"}
+    assert name("我叫王小明，今年八岁") == {"王小明"} and name("私は田中太郎です") == {"田中太郎"}
+    assert "Odell Kellwick" in name("Yesterday Call Manager Odell Kellwick Again Today")
+    assert name("hôm nay nguyễn thị vinh gọi mình") == {"nguyễn thị vinh"}
+
+
+def test_kept_spans_do_not_overlap():
+    spans = [{"kind": k, "start": a, "end": b, "chance": c} for k, a, b, c in [("phone", 0, 9, 0.6), ("id_number", 0, 9, 0.9), ("email", 8, 12, 0.8), ("email", 9, 12, 0.7), ("phone", 20, 22, 0.5)]]
+    assert [(r["kind"], r["start"]) for r in pii._clear(spans)] == [("id_number", 0), ("email", 9), ("phone", 20)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_places_of_one_form(text):
@@ -166,6 +200,15 @@ MARKED = [
 ]
 
 
+def test_long_lines_take_linear_time():
+    import time
+
+    start = time.time()
+    line = 'nói "vậy. thôi" rồi đi. Dr. X kam. ' * 20_000
+    assert len(sentences.find(line)) > 20_000 and len(sentences.quoted('"a" ' * 30_000 + "«" * 30_000)) == 30_000
+    assert time.time() - start < 60
+
+
 def test_sentences_of_marked_texts(spark):
     random.seed(8)
     ends, words = (".", ".", "!", "?", "\n"), ("vườn", "cửa", "sông", "đường", "biển", "trường", "làng", "phố", "núi", "cầu", "đó", "Ruhe", "samstags", "heute", "mệt")
