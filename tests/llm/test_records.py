@@ -122,6 +122,7 @@ def test_consensus_is_nearer_to_the_truth_than_any_rater(spark):
     truth, validation, annotations = planted(spark)
     cast = consensus.votes(validation, annotations)
     model, packed = consensus.fit(cast)
+    assert model.converged and model.rounds < consensus.ROUNDS
     got = {}
     for r in consensus.posteriors(model, packed).collect():
         if r.chance > 0.5:

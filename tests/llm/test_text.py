@@ -66,6 +66,8 @@ def test_look_alikes(spark):
     texts = ["xin chào bạn", "xin chào bạn", "xin chào bạn", "xin chào bạn", "Xin chào bạn", "xin chào ban", "xin chào bạn\n", *ODD, " ", None]
     pairs = {(r.doc_id_a, r.doc_id_b) for r in unify.look_alikes(docs(spark, texts)).collect()}
     assert pairs == {(0, 1), (1, 2), (0, 3), (1, 3), (2, 3)}
+    links = {r.doc_id: r.links for r in unify.linked(docs(spark, texts)).collect()}
+    assert all(links[i] == sum(i in p for p in pairs) for i in links) and set(range(7)) <= set(links)
     assert unify.look_alikes(docs(spark, [])).isEmpty()
     forms = unify.with_forms(docs(spark, [None, "", "ＡＢ"])).orderBy("doc_id").collect()
     assert [r.unified for r in forms] == [None, "", "AB"] and forms[0].key == "extra"

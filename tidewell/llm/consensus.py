@@ -65,6 +65,8 @@ class Model:
         self.rows = np.zeros((len(raters), n, 2, 2))
         self.classes = np.tile(np.array(CLASS_PRIOR), (n, 1))
         self.pooled = np.zeros((len(raters), 2, 2))
+        #: rounds taken, and whether the last one moved no rate by TOLERANCE
+        self.rounds, self.converged = 0, False
 
     def update(self, counts: np.ndarray, truths: np.ndarray) -> None:
         """counts (raters, aspects, truth, answer) and truths (aspects, truth): expected numbers."""
@@ -139,9 +141,11 @@ def fit(cast: DataFrame, n: int = N_ASPECTS, rounds: int = ROUNDS) -> tuple[Mode
             else:
                 counts[r.rater, r.aspect] = [[r.c00, r.c01], [r.c10, r.c11]]
         model.update(counts, truths)
+        model.rounds += 1
         logs = model.logs()
         rates = model.rows[..., 1] / model.rows.sum(-1)
-        if before is not None and np.abs(rates - before).max() < TOLERANCE:
+        model.converged = before is not None and np.abs(rates - before).max() < TOLERANCE
+        if model.converged:
             break
         before = rates
     return model, packed

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, stored
 
 #: Where the vocabulary files lie; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
@@ -114,7 +114,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", folder
 
 def _encode_chunks(rows: DataFrame, kind: str, folder: str, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
     """Texts over one chunk: chunks as rows, stitched by text, pieces encoded in parallel."""
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "long")  # the numbers must be the same wherever they are read
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
     cut = numbered.select("key", "row", F.length("text").alias("length"), F.posexplode(starts).alias("n", "start"), "text")
     begin = F.greatest(F.lit(0), F.col("start") - overlap)

@@ -50,6 +50,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return unify.look_alikes(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the class of their look and the number of others that look the same but are stored differently."""
+    return unify.linked(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def p3_text(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every document."""
     return unify.with_forms(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", F.col("unified").alias("text"))
@@ -132,4 +137,4 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents", "doc_id", "text")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p2_partners, p3_found, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_scores, p1_rates, p2_found, p2_coverage, p2_report, p2_partners, p3_found, p3_classes, p3_text, p5_found, p5_text, p6_found, p6_raters, p6_agreement, p6_contradictions, p7_found, p7_report, p7_sample, p7_shares, p8_ids, p9_mix, p9_shares, p10_found)}

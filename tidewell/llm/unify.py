@@ -2,8 +2,8 @@
 
 A compiled longest-match transducer runs over grapheme clusters: a pattern finds the clusters that may
 need a change (a character of a mapped kind with all its marks, or any base with combining marks), and a
-table gives the form of each. The table is filled from the rules below on first sight of a cluster; each
-entry is checked for conflicts (its form must be its own form), so one pass gives the final text.
+table gives the form of each. The table is made from the rules below when the module is loaded; each
+entry's form is its own form, so one pass gives the final text.
 
 Two outputs: ``skeleton`` maps look-alike letters of Cyrillic and Greek to Latin whatever the script
 around them, and is what comparisons use; ``unified`` is a function of the skeleton that gives words
@@ -62,18 +62,25 @@ def rule(cluster: str) -> str:
 
 
 class Table(dict):
-    """Cluster to form; an entry that would change again, or break up when composed, is refused."""
+    """Cluster to form. The entries of all mapped characters are made and checked for conflicts when the module is loaded; a cluster of
+    such a character with its marks is added by the same rule when it is first seen, and brought to a form that is its own."""
+
+    def __init__(self, characters: str):
+        super().__init__((c, rule(c)) for c in characters)
+        wrong = [c for c, form in self.items() if rule(form) != form]
+        if wrong:
+            raise ValueError(f"conflicting mappings: {wrong}")
 
     def __missing__(self, cluster: str) -> str:
         form = rule(cluster)
-        if rule(form) != form:
-            raise ValueError(f"conflicting mapping: {cluster!r} gives {form!r}, which gives {rule(form)!r}")
+        while (again := rule(form)) != form:
+            form = again
         self[cluster] = form
         return form
 
 
-TABLE = Table()
 _MAPPED = "".join(_LETTERS) + "".join(LIGATURES)
+TABLE = Table(_MAPPED + "".join(map(chr, [*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFEF)])) + INVISIBLE)
 #: Longest match first: a mapped or composed character with its marks, any character with marks, what is removed.
 TRANSDUCER = regex.compile(
     rf"[{_MAPPED}\p{{Cyrillic}}\p{{Greek}}\uff01-\uff5e\uff61-\uffee]\p{{M}}*|[\p{{L}}\p{{N}}][{INVISIBLE}]*(?:\p{{M}}[{INVISIBLE}]*)+|[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]|[\u1100-\u11ff\ua960-\ua97c\ud7b0-\ud7fb]+|[{INVISIBLE}]+"
@@ -173,3 +180,12 @@ def look_alikes(documents: DataFrame, key: str = "doc_id", text: str = "text") -
     a, b = rows.select("class", F.col(key).alias("a"), F.col("form").alias("fa")), rows.select("class", F.col(key).alias("b"), F.col("form").alias("fb"))
     pairs = a.join(b, (a["class"] == b["class"]) & (F.col("fa") != F.col("fb")) & (F.col("a") < F.col("b")))
     return pairs.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b")).distinct()
+
+
+def linked(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class, links: the class of each document that is not blank, and how many documents look the same but are stored differently."""
+    rows = classes(documents, key, text)
+    forms = rows.groupBy("class", "form").agg(F.count("*").alias("own"))
+    sizes = forms.groupBy("class").agg(F.sum("own").alias("all"))
+    counted = forms.join(sizes, "class").select("class", "form", (F.col("all") - F.col("own")).alias("links"))
+    return rows.join(counted, ["class", "form"]).select(key, F.hex("class").alias("class"), "links")
