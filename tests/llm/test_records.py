@@ -72,6 +72,32 @@ def test_edited_copies_of_a_common_text_are_pairs(spark):
         assert got == want and len(want) == 320
 
 
+def test_no_row_is_repeated_for_the_texts_it_meets(spark, monkeypatch):
+    plans, real = [], overlap.stored
+
+    def kept(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, *args)
+
+    monkeypatch.setattr(overlap, "stored", kept)
+    rows = [(1, None, "a b c d", "s", "train"), (2, None, "a b c e", "s", "val")]
+    assert overlap.overlaps(training(spark, rows), light=0).count() == 1
+    assert len(plans) > 3 and not any("Generate" in plan for plan in plans)
+
+
+def test_pairs_of_long_texts(spark):
+    random.seed(13)
+    rows = []
+    for i, n in enumerate((250, 300, 500, 520, 1000, 1100, 2100)):
+        words = [f"dài{random.randrange(400)}" for _ in range(n)]
+        edited = [f"khác{k}" if random.random() < 0.12 else w for k, w in enumerate(words)]
+        rows += [(i, None, " ".join(words), "s", "train"), (100 + i, None, " ".join(edited), "s", "val"), (200 + i, None, " ".join(words[: n * 4 // 5]), "s", "test")]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[4] == "train" and b[4] != "train" and overlap.alike(overlap.fold(a[2]), overlap.fold(b[2]))}
+    for light in (0, 10**9):
+        got = {(r.train_key, r.key) for r in overlap.overlaps(training(spark, rows), light=light).collect()}
+        assert got == want and len(want) == 14
+
+
 def test_chat_spellings_and_reports(spark):
     base = "Mình không biết kể với ai nên lên đây, hụi ở Thượng Mây vỡ đúng hôm sinh nhật rồi mọi người ạ"
     rows = [(1, "a", base, "s", "train"), (2, "b", base.replace("không", "ko").replace("mọi người", "mn").replace("Mình", "Mk"), None, "val"), (3, "a", None, "s", "test"), (4, None, "chuyện khác hẳn", "s", "test")]

@@ -4,7 +4,8 @@ Texts are folded (look-alike letters, widths, accents, case, punctuation, spaces
 aside) to words; equal folded texts are one class. A training and an evaluation class are a pair if their longest
 common subsequence of words holds ``share`` of the longer text's words. Candidates come from a prefix filter that is exact for
 that rule: the words of each text, repeats numbered, go from rare to common, and all alike texts have one of their
-first words in common, however common the rest is. Candidates are then held against each other word by word.
+first words in common, however common the rest is. Texts whose first words are all rare are joined at them; the others
+are held against each other by sketches, which needs one row a text on disk. Candidates are then held against each other word by word.
 
 For the coverage, the passages of the evaluation classes (runs of words that overlap by half) are put into
 Aho-Corasick automata, sharded by a fixed number of passages, which scan the folded training texts once. Matched
@@ -33,16 +34,20 @@ from .unify import Tokens, skeleton
 
 TRAIN, EVALUATION = ("train",), ("val", "test")
 SHARE = 0.75
-#: Texts on each side in one piece of the join at a common word.
-PIECE = 4_000
+#: Evaluation texts in one piece that is held against training texts, and how many such pieces of training texts a task holds.
+PIECE, PIECES = 4_000, 10
 #: Pairs at a word up to which rows are joined one by one.
 LIGHT = 20_000
-#: Pairs that are compared at once.
-BLOCK = 1 << 17
+#: Pairs that are compared at once, and of how many evaluation texts.
+BLOCK, TALL = 1 << 17, 16
 #: Hashed places of the counts that put words in order.
 PLACES = 1 << 18
 #: Bits of a text's parity sketch, and the longs that hold them.
 SKETCH, LONGS = 512, 8
+#: Two longs of a sketch are looked at first, and one more for so many words of the text.
+TOLD = 34
+#: Words above which a text has a wide sketch too, of as many more bits as it has more words.
+WIDE = 256
 #: Words in a passage by the number of words of the record: (from, words).
 PASSAGE = ((30, 5), (12, 3), (6, 2), (0, 1))
 #: Passages in one automaton.
@@ -207,21 +212,26 @@ def scan(texts: DataFrame, path: str | None, number: int, held: int = HELD) -> D
     return texts.select("folded").mapInPandas(run, schema).distinct()
 
 
-def numbered(words: list[str]) -> list[str]:
-    """The words, each from its second time on with the number of the time, so that equal ones differ."""
-    times: Counter[str] = Counter()
-    out = []
-    for w in words:
-        times[w] += 1
-        out.append(w if times[w] == 1 else f"{w} {times[w]}")
-    return out
-
-
 def _ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (not negative) of the numbered words of all texts, and where each text begins and ends in them."""
-    each = [numbered(t.split(" ")) for t in texts]
-    flat = np.array([w for words in each for w in words], dtype=object)
-    return (pd.util.hash_array(flat, categorize=False) >> np.uint64(1)).astype(np.int64), np.cumsum([0, *map(len, each)])
+    """Hashes (not negative) of the words of all texts, repeats in a text numbered so that they differ, and where each text begins and ends in them."""
+    each = [t.split(" ") for t in texts]
+    bounds = np.cumsum([0, *map(len, each)])
+    codes, known = pd.factorize(np.array([w for words in each for w in words], dtype=object))
+    own = np.repeat(np.arange(len(each)), np.diff(bounds)) * len(known) + codes
+    order = np.argsort(own, kind="stable")
+    first = np.concatenate([[True], own[order][1:] != own[order][:-1]])[: len(own)]
+    at = np.arange(len(own))
+    times = np.empty(len(own), np.uint64)
+    times[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+    return (pd.util.hash_array(known, categorize=False)[codes] + times * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64), bounds
+
+
+def _chunks(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Some rows (class, folded) at a time with their _ids()."""
+    for whole in frames:
+        for start in range(0, len(whole), rows):
+            frame = whole.iloc[start : start + rows]
+            yield frame, *_ids(list(frame.folded))
 
 
 def _counted(texts: DataFrame) -> np.ndarray:
@@ -229,8 +239,8 @@ def _counted(texts: DataFrame) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(PLACES, np.int64)
-        for frame in frames:
-            counts += np.bincount(_ids(list(frame.folded))[0] % PLACES, minlength=PLACES)
+        for _, ids, _ in _chunks(frames, 5000):
+            counts += np.bincount(ids % PLACES, minlength=PLACES)
         place = counts.nonzero()[0]
         yield pd.DataFrame({"place": place, "n": counts[place]})
 
@@ -240,131 +250,192 @@ def _counted(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _rarest(texts: DataFrame, shared, share: float, none: int) -> DataFrame:
-    """class, words, place, id, n, m, before, sketch: so many of the rarest words of each text that two alike texts have one in common.
+def _first(size, share: float):
+    """So many of the rarest words of a text of size words that it and any alike one have one of theirs in common."""
+    return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
+
 
-    place counts from the rarest word; before are the three words right before it (none: there is none); sketch is a parity
-    sketch of all words. Words whose place only one side has come first: they count, but match nothing and are left out.
+def _sketched(texts: DataFrame, shared, share: float, light: int) -> DataFrame:
+    """class, words, heavy, s0.., wide of each row: parity sketches of all words, wide ones (else null) for texts of more than WIDE words.
+
+    heavy: at one of the text's first words more than light pairs can meet.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, m = shared.value
+        heavy = n * m > light
+        for frame, ids, bounds in _chunks(frames):
+            size = np.diff(bounds)
+            row, bits = np.repeat(np.arange(len(size)), size), ids // PLACES
+            odd = (np.bincount(row * SKETCH + bits % SKETCH, minlength=len(size) * SKETCH) & 1).astype(np.uint8)
+            sketch = np.packbits(odd).view(np.int64).reshape(-1, LONGS)
+            rare = size - np.bincount(row, heavy[ids % PLACES], len(size)).astype(np.int64)
+            wide: list[bytes | None] = [None] * len(size)
+            for r in (size > WIDE).nonzero()[0]:
+                most = SKETCH << math.ceil(math.log2(size[r] / WIDE))
+                wide[r] = np.packbits((np.bincount(bits[bounds[r] : bounds[r + 1]] % most, minlength=most) & 1).astype(np.uint8)).tobytes()
+            columns = {"class": frame["class"].to_numpy(), "words": size, "heavy": rare < _first(size, share)} | {f"s{k}": sketch[:, k] for k in range(LONGS)}
+            yield pd.DataFrame(columns | {"wide": pd.Series(wide, dtype=object)})
+
+    longs = ", ".join(f"s{k} bigint" for k in range(LONGS))
+    return texts.select("class", "folded").mapInPandas(run, f"class binary, words int, heavy boolean, {longs}, wide binary")
+
+
+def _light(texts: DataFrame, shared, share: float, light: int, every: bool) -> DataFrame:
+    """id, ref, words, place, heavy: the first words of each text (ref: hash of its class) at which at most light pairs can meet.
+
+    place counts from the rarest word. Words whose place only one side has come first: they count, but match nothing and
+    are left out. every: of heavy texts too.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, m = shared.value
         rank = n * m
-        for whole in frames:
-            for start in range(0, len(whole), 1000):
-                frame = whole.iloc[start : start + 1000]
-                ids, bounds = _ids(list(frame.folded))
-                ranks = rank[ids % PLACES]
-                parts = []
-                for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    mine, size = ids[a:b], int(b - a)
-                    first = np.lexsort((mine, ranks[a:b]))[: size - math.ceil(share * size - 1e-9) + 1]
-                    place = (ranks[a:b][first] > 0).nonzero()[0]
-                    kept = mine[first[place]]
-                    before = [np.concatenate([np.full(min(k, len(kept)), none), kept[: max(0, len(kept) - k)]]) for k in (1, 2, 3)]
-                    odd = np.bincount(mine // PLACES % SKETCH, minlength=SKETCH) & 1
-                    parts.append((np.full(len(kept), row), np.full(len(kept), size), place, kept, *before, np.broadcast_to(np.packbits(odd.astype(np.uint8)).view(np.int64), (len(kept), LONGS))))
-                row, words, place, kept, b0, b1, b2, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
-                columns = {"class": frame["class"].to_numpy()[row], "words": words, "place": place, "id": kept, "n": n[kept % PLACES], "m": m[kept % PLACES], "b0": b0, "b1": b1, "b2": b2}
-                yield pd.DataFrame(columns | {f"s{k}": sketch[:, k] for k in range(LONGS)})
-
-    longs = ", ".join(f"{c} bigint" for c in ("id", "n", "m", "b0", "b1", "b2", *(f"s{k}" for k in range(LONGS))))
-    return texts.select("class", "folded").mapInPandas(run, f"class binary, words int, place int, {longs}")
-
-
-def _meet(a: pd.DataFrame, b: pd.DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers in a and b of the pairs at one word that can be alike and did not meet at one of the three words before.
-
-    Of a only the rows are looked at whose sizes fit, in blocks that stay in the processor's caches.
+        for frame, ids, bounds in _chunks(frames):
+            ranks, refs, parts = rank[ids % PLACES], frame.ref.to_numpy(), []
+            for ref, a, b in zip(refs, bounds[:-1], bounds[1:], strict=True):
+                mine, own = ids[a:b], ranks[a:b]
+                first = np.lexsort((mine, own))[: _first(b - a, share)]
+                heavy = own[first[-1]] > light
+                if every or not heavy:
+                    place = ((own[first] > 0) & (own[first] <= light)).nonzero()[0]
+                    parts.append(pd.DataFrame({"id": mine[first[place]], "ref": ref, "words": b - a, "place": place, "heavy": heavy}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    rows = texts.select(F.xxhash64("class").alias("ref"), F.lit(None).cast("binary").alias("class"), "folded")
+    return rows.mapInPandas(run, "id bigint, ref bigint, words int, place int, heavy boolean")
+
+
+class _Side:
+    """Sketches of some texts as arrays, in order of their sizes."""
+
+    def __init__(self, rows):
+        """rows: Arrow table of what _sketched() gives."""
+        rows = rows.filter(rows["heavy"]).sort_by("words")
+        self.words, self.cls, self.wide = rows["words"].to_numpy(), rows["class"], rows["wide"]
+        self.sketch = [rows[f"s{k}"].to_numpy().view(np.uint64) for k in range(LONGS)]
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Places in which two wide sketches differ, the longer one folded to the length of the shorter."""
+    u, v = int.from_bytes(x), int.from_bytes(y)
+    size, other = len(x) * 8, len(y) * 8
+    while size > other:
+        size //= 2
+        u = u >> size ^ u & (1 << size) - 1
+    while other > size:
+        other //= 2
+        v = v >> other ^ v & (1 << other) - 1
+    return (u ^ v).bit_count()
+
+
+def _meet(a: _Side, b: _Side, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers in a and b of the pairs that can be alike by their sizes and sketches.
+
+    For some rows of b at a time those of a are looked at whose sizes fit. So much of the sketches as tells texts of that
+    size apart drops most of them; the rest of the sketches is held against each other only for those that are left.
     """
-    a, b = a.sort_values("words"), b.assign(left=b.words - b.place).sort_values("left")
-    left, right = [], []
-    size, rest = a.words.to_numpy(), (a.words - a.place).to_numpy()
-    sketches, other = ([df[f"s{k}"].to_numpy().view(np.uint64) for k in range(LONGS)] for df in (a, b))
-    own, behind = b.words.to_numpy(), b.left.to_numpy()
-    step = max(1, BLOCK // max(1, len(a)))
-    for at in range(0, len(b), step):
-        part = slice(at, at + step)
-        low = np.searchsorted(size, share * own[part].min() - 1e-9)
-        high = np.searchsorted(size, behind[part].max() / share + 1e-9, "right")
-        if low >= high:
-            continue
-        need = share * np.maximum(size[None, low:high], own[part, None]) - 1e-9
-        fit = np.minimum(rest[None, low:high], behind[part, None]) >= need
-        j, i = fit.nonzero()
-        if not len(i):
-            continue
-        most = (size[low + i] + own[at + j] - 2 * need[j, i]).astype(np.int32)
-        apart = np.zeros(len(i), np.int32)
-        for k in range(LONGS):
-            apart += np.bitwise_count(sketches[k][low + i] ^ other[k][at + j])
-            if k % 2 and k + 1 < LONGS:
-                still = (apart <= most).nonzero()[0]
-                i, j, apart, most = i[still], j[still], apart[still], most[still]
-        still = (apart <= most).nonzero()[0]
-        left.append(low + i[still])
-        right.append(at + j[still])
-    i, j = np.concatenate([*left, np.array([], np.int64)]).astype(int), np.concatenate([*right, np.array([], np.int64)]).astype(int)
-    words = lambda df, rows: df[["b0", "b1", "b2"]].to_numpy()[rows]
-    new = ~(words(a, i)[:, :, None] == words(b, j)[:, None, :]).any((1, 2))
-    return a.index.to_numpy()[i[new]], b.index.to_numpy()[j[new]]
-
-
-def _hot(frames: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
-    """Pairs of classes out of rows sorted by group (id, p, q); a group holds at most a piece of each side."""
-    kept = None
-    frames = iter(frames)
-    while True:
-        frame = next(frames, None)
-        if frame is None and kept is None:
-            return
-        rows = frame if kept is None else kept if frame is None else pd.concat([kept, frame], ignore_index=True)
-        keys = rows[["id", "p", "q"]].to_numpy()
-        edges = [0, *((keys[1:] != keys[:-1]).any(1).nonzero()[0] + 1), len(rows)]
-        if frame is not None:
-            kept = rows.iloc[edges[-2] :].reset_index(drop=True)
-            edges = edges[:-1]
-        else:
-            kept = None
-        classes, old = rows["class"].to_numpy(), rows.old.to_numpy()
-        for start, end in zip(edges[:-1], edges[1:], strict=True):
-            group = rows.iloc[start:end]
-            mine = old[start:end]
-            if mine.any() and not mine.all():
-                i, j = _meet(group[mine], group[~mine], share)
-                yield pd.DataFrame({"train_class": classes[i], "class": classes[j]}).drop_duplicates()
-        if kept is None:
-            return
-
-
-def candidates(train: DataFrame, records: DataFrame, share: float = SHARE, shard: int = PIECE, light: int = LIGHT) -> DataFrame:
+    left, right = [np.array([], np.int64)], [np.array([], np.int64)]
+    across = BLOCK // TALL
+    space = np.empty(BLOCK, np.uint64), np.empty(BLOCK, np.uint8), np.empty(BLOCK, np.uint16)
+    spans = []
+    for at in range(0, len(b.words), TALL):
+        own = b.words[at : at + TALL]
+        low, high = np.searchsorted(a.words, share * own[0] - 1e-9), np.searchsorted(a.words, own[-1] / share + 1e-9, "right")
+        spans += [(at, own, begin, min(high, begin + across)) for begin in range(low, high, across)]
+    for at, own, low, high in spans:
+        size = a.words[low:high]
+        differ, more, apart = (x[: len(own) * len(size)].reshape(len(own), len(size)) for x in space)
+        most = np.clip(size + own[-1] - 2 * share * np.maximum(size, own[0]) + 1e-6, 0, SKETCH).astype(np.uint16)
+        longs = min(LONGS, 2 + int(own[-1]) // TOLD)
+        for k in range(longs):
+            np.bitwise_xor(a.sketch[k][low:high], b.sketch[k][at : at + TALL, None], out=differ)
+            np.bitwise_count(differ, out=more)
+            if k:
+                np.add(apart, more, out=apart)
+            else:
+                np.copyto(apart, more)
+        flat = np.flatnonzero(apart <= most)
+        j, i = np.divmod(flat, len(size))
+        apart, i, j = apart.ravel()[flat].astype(np.int32), i + low, j + at
+        x, y = a.words[i], b.words[j]
+        most = x + y - 2 * (share * np.maximum(x, y) - 1e-9)
+        still = (apart <= most) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9)
+        i, j, apart, most = i[still], j[still], apart[still], most[still]
+        for k in range(longs, LONGS):
+            apart += np.bitwise_count(a.sketch[k][i] ^ b.sketch[k][j])
+            still = apart <= most
+            i, j, apart, most = i[still], j[still], apart[still], most[still]
+        left.append(i)
+        right.append(j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    long = ((a.words[i] > WIDE) & (b.words[j] > WIDE)).nonzero()[0]
+    good = np.ones(len(i), bool)
+    for k in long:
+        x, y = a.words[i[k]], b.words[j[k]]
+        good[k] = _apart(a.wide[int(i[k])].as_py(), b.wide[int(j[k])].as_py()) <= x + y - 2 * (share * max(x, y) - 1e-9)
+    return i[good], j[good]
+
+
+def _read(file: str, rows: int):
+    """The rows of a stored file, so many at a time, as Arrow tables."""
+    import pyarrow as pa
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    where, path = pyarrow.fs.FileSystem.from_uri(file.replace("file:///", "file:/").replace("file:/", "file:///"))
+    with where.open_input_file(path) as opened:
+        for batch in pq.ParquetFile(opened).iter_batches(rows):
+            yield pa.Table.from_batches([batch])
+
+
+def _held(a: DataFrame, b: DataFrame, share: float, shard: int) -> DataFrame:
+    """train_class, class of the heavy texts of stored sketches a and b that can be alike: each file of a is held against all of b, a piece at a time, read where they are stored."""
+    old, new = a.inputFiles(), b.inputFiles()
+    schema = "train_class binary, class binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for number in (k for frame in frames for k in frame.id):
+            for mine in map(_Side, _read(old[number], PIECES * shard)):
+                for other in (_Side(rows) for file in new for rows in _read(file, shard)):
+                    i, j = _meet(mine, other, share)
+                    yield pd.DataFrame({"train_class": mine.cls.take(i).to_pylist(), "class": other.cls.take(j).to_pylist()}, dtype=object)
+
+    return a.sparkSession.range(0, len(old), 1, max(1, len(old))).mapInPandas(run, schema)
+
+
+def candidates(train: DataFrame, records: DataFrame, parts: int, share: float = SHARE, shard: int = PIECE, light: int = LIGHT) -> DataFrame:
     """train_class, class: every pair that can be alike by its sizes and words; none that alike() takes is left out.
 
     Alike texts have share of the longer one's words in common, repeats counted. So whatever the order of the
     words, the two share one among the first size - share * size + 1 of each. The order is from rare to common, by counts
-    of a fixed number of hashed places that go to the driver. Pairs that meet at a word stay if what
-    follows it is long enough and if the sketches differ in no more places than the words can. Words at which no more
-    than light pairs can meet are joined; at all others the rows of both sides meet in pieces, as arrays.
+    of a fixed number of hashed places that go to the driver. Texts with a first word at which more than light pairs can
+    meet are heavy. Heavy texts of both sides are held against each other by size and sketch, as arrays that tasks read
+    from one stored row a text, so that no row is repeated on disk however many pairs meet. All other pairs have a first
+    word in common at which no more than light pairs meet, and are joined. Pairs stay if the sketches differ in no more places than the words can.
+    train, records: class, folded; rows of one class may repeat.
     """
     shared = train.sparkSession.sparkContext.broadcast((_counted(train), _counted(records)))
-    a, b = stored(_rarest(train, shared, share, -1), "rare"), stored(_rarest(records, shared, share, -2), "rare")
-    few = F.col("n") * F.col("m") <= light
-    need = f"({share}D * greatest(a.words, b.words) - 1e-9D)"
+    columns = ("words", "heavy", *(f"s{k}" for k in range(LONGS)), "wide")
+
+    def side(texts: DataFrame, name: str) -> DataFrame:
+        each = _sketched(texts, shared, share, light).repartition(parts, "class")
+        return stored(each.groupBy("class").agg(F.first(F.struct(*columns)).alias("of")).select("class", "of.*"), name)
+
+    a, b = side(train, "sketches"), side(records, "sketches")
+    some_a, some_b = (not x.filter("NOT heavy").isEmpty() for x in (a, b))
+    hot = _held(a, b, share, shard)
+    if not some_a and not some_b:
+        return hot
+    need = lambda x, y: f"({share}D * greatest({x}.words, {y}.words) - 1e-9D)"
+    x, y = _light(train, shared, share, light, some_b).alias("x"), _light(records, shared, share, light, some_a).alias("y")
+    on = F.expr(f"x.id = y.id AND NOT (x.heavy AND y.heavy) AND least(x.words - x.place, y.words - y.place) >= {need('x', 'y')}")
+    met = x.join(y, on).select(F.col("x.ref").alias("ref"), F.col("y.ref").alias("other")).distinct()
+    a, b = a.withColumn("ref", F.xxhash64("class")).alias("a"), b.withColumn("other", F.xxhash64("class")).alias("b")
     differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(LONGS))
-    met = " OR ".join(f"a.b{k} IN (b.b0, b.b1, b.b2)" for k in range(3))
-    on = F.expr(
-        f"a.id = b.id AND least(a.words - a.place, b.words - b.place) >= {need}"
-        f" AND {differ} <= a.words + b.words - 2 * {need}"
-        f" AND NOT ({met})"  # the pair met before, so this is not its first time
-    )
-    rare = a.filter(few).alias("a").join(b.filter(few).alias("b"), on).select(F.col("a.class").alias("train_class"), F.col("b.class").alias("class"))
-    pieces = lambda c: F.ceil(F.col(c) / shard).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("class"), pieces(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), pieces(c) - 1))
-    many_a = a.filter(~few).withColumn("p", mine("n")).withColumn("q", every("m")).withColumn("old", F.lit(True))
-    many_b = b.filter(~few).withColumn("q", mine("m")).withColumn("p", every("n")).withColumn("old", F.lit(False))
-    both = many_a.unionByName(many_b).drop("n", "m").repartition("id", "p", "q").sortWithinPartitions("id", "p", "q")
-    hot = both.mapInPandas(lambda frames: _hot(frames, share), "train_class binary, class binary")
+    fit = F.expr(f"least(a.words, b.words) >= {need('a', 'b')} AND {differ} <= a.words + b.words - 2 * {need('a', 'b')}")
+    rare = met.join(b, "other").join(a, "ref").filter(fit).select(F.col("a.class").alias("train_class"), F.col("b.class").alias("class"))
     return rare.unionByName(hot).distinct()
 
 
@@ -372,11 +443,12 @@ def near(rows: DataFrame, key: str = "row_id", text: str = "text", split: str =
     """(pairs of classes train_class, class; members train_class, key; members class, key)."""
     old = stored(folded(rows.filter(F.col(split).isin(list(train))), key, text), "train")
     new = stored(folded(rows.filter(F.col(split).isin(list(evaluation))), key, text), "evaluation")
-    one = lambda df: df.groupBy("class").agg(F.first("folded").alias("folded"))
     size = old.agg(F.sum(F.length("folded"))).first()[0] or 0
     parts = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // HELD))
-    old_texts, new_texts = one(old).repartition(parts, "class"), one(new)
-    pairs = stored(candidates(old_texts, new_texts, share, shard, light), "candidates")
+    pairs = stored(candidates(old, new, parts, share, shard, light), "candidates")
+    # one text of each class that a candidate has
+    one = lambda df, cls: df.join(pairs.select(F.col(cls).alias("class")).distinct(), "class", "left_semi").groupBy("class").agg(F.first("folded").alias("folded"))
+    old_texts, new_texts = one(old, "train_class"), one(new, "class")
     joined = pairs.join(new_texts, "class").join(old_texts.select(F.col("class").alias("train_class"), F.col("folded").alias("train_folded")), "train_class")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
